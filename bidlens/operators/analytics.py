@@ -156,12 +156,15 @@ def supplier_top_queries(catalog: DataFrame, events: DataFrame, top: int = 20) -
     ).select(F.col("creator_user_id").alias("user_id"), "query", "impressions", F.col("rn").alias("position"))
 
 
-def item_popularity(contracts: DataFrame) -> DataFrame:
-    """Blend of contract count, volume and distinct customers, each divided by its maximum."""
-    per_item = contracts.groupBy("item_id").agg(
-        F.count("*").alias("contract_count"),
-        F.sum("cost").alias("total_volume"),
-        F.count_distinct("customer_id").alias("unique_customers"),
+def item_popularity(facts: DataFrame) -> DataFrame:
+    """Blend of contract count, volume and distinct customers, each divided by its maximum.
+
+    ``facts`` hold one row per (user, item), so distinct customers are plain row counts.
+    """
+    per_item = facts.groupBy("item_id").agg(
+        F.sum("times").alias("contract_count"),
+        F.sum("volume").alias("total_volume"),
+        F.count("*").alias("unique_customers"),
     )
     fields = ("contract_count", "total_volume", "unique_customers")
     peaks = per_item.agg(  # one subquery for all three maxima

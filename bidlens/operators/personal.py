@@ -22,14 +22,9 @@ BOOST, NEGATIVE = 0.3, 0.8
 
 
 # ---- history -----------------------------------------------------------------------------
-def user_items(contracts: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """(user, item, times, last date); only for ``users(user_id)`` if given."""
-    rows = contracts.select(F.col("customer_id").alias("user_id"), "item_id", "contract_date")
-    if users is not None:
-        rows = rows.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    return rows.groupBy("user_id", "item_id").agg(
-        F.count("*").alias("times"), F.max("contract_date").alias("last_date")
-    )
+def items_of(facts: DataFrame, users: DataFrame) -> DataFrame:
+    """Purchase counts (user_id, item_id, times, last_date) of the given users only."""
+    return facts.join(users.select("user_id").distinct(), "user_id", "left_semi")
 
 
 def user_categories(items: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -118,21 +113,20 @@ def mismatch_penalty(cands: DataFrame) -> DataFrame:
 
 
 # ---- region, session ---------------------------------------------------------------------
-def user_region(contracts: DataFrame, users: DataFrame) -> DataFrame:
-    """Region of most of a user's contracts."""
+def user_region(facts: DataFrame, users: DataFrame) -> DataFrame:
+    """Region of most of a user's contracts, from counted (user, item, region) rows."""
     counts = (
-        contracts.where("customer_region is not null")
-        .select(F.col("customer_id").alias("user_id"), "customer_region")
+        facts.where("customer_region is not null")
         .join(users.select("user_id").distinct(), "user_id", "left_semi")
         .groupBy("user_id", "customer_region")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("times").alias("n"))
     )
     return top_per_group(counts, "user_id", [F.desc("n"), "customer_region"], 1).select("user_id", "customer_region")
 
 
-def region_affinity(cands: DataFrame, regions: DataFrame, contracts: DataFrame) -> DataFrame:
+def region_affinity(cands: DataFrame, regions: DataFrame, facts: DataFrame) -> DataFrame:
     """Adds ``region``: contracts for the item in the user's region."""
-    regional = contracts.groupBy("customer_region", "item_id").agg(F.count("*").alias("regional_cnt"))
+    regional = facts.groupBy("customer_region", "item_id").agg(F.sum("times").alias("regional_cnt"))
     return (
         cands.join(regions, "user_id", "left")
         .join(regional, ["customer_region", "item_id"], "left")
@@ -415,8 +409,8 @@ def profile_rerank(
         F.when(flag("is_negative"), "Ranked lower: you quickly returned from this item"),
     ))
     return (
-        j.withColumn("personal_score", F.round(p, 6))
-        .withColumn("final_score", F.round(F.col("base_score") + F.col("personal_score"), 6))
+        j.withColumn("personal_score", F.round(p, 8))
+        .withColumn("final_score", F.round(F.col("base_score") + F.col("personal_score"), 8))
         .withColumn("reasons", reasons)
         .drop("pv", "iv")
     )

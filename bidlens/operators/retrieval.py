@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlens.functions import text as X
 from bidlens.functions.skew import salted_join
@@ -146,7 +147,7 @@ def embed_texts(df: DataFrame, tokens: str, dims: int = 256) -> DataFrame:
 def encode_with(df: DataFrame, text: str, encoder, batch: int = 256) -> DataFrame:
     """Apply a user's ``encoder(list[str]) -> 2-D array`` in Arrow batches and normalise."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(parts: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(parts), batch):
@@ -235,7 +236,7 @@ def phrase_match(name: Column, query: Column) -> Column:
     return F.contains(pad(name), pad(query))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two short strings, in Arrow batches over the cut candidates."""
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])

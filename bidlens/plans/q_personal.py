@@ -14,11 +14,11 @@ def users(t):
 
 
 def items(t):
-    return P.user_items(t.purchases, users(t))
+    return P.items_of(t.facts, users(t))
 
 
 def all_items(t):
-    return P.user_items(t.purchases)
+    return t.facts
 
 
 def categories(t):
@@ -33,10 +33,10 @@ def event_now(t):
     return A.latest(t.raw("events"), "ts")
 
 
-def interested(t):
+def interested(t, base=None):
     likes = P.effective_interests(t.requests, t.profiles)
     lists = P.interest_categories(likes, t.industry_categories, t.universal_categories, t.domain_categories)
-    return P.with_interests(candidates(t), likes, lists)
+    return P.with_interests(candidates(t) if base is None else base, likes, lists)
 
 
 shared("t_user_items", "SELECT customer_id AS user_id, item_id, count(*) AS times, max(contract_date) AS last_date FROM t_purchases GROUP BY 1, 2")
@@ -122,7 +122,7 @@ def category_affinity(t):
 
 @query("industry_affinity", "SELECT * FROM t_industry_aff")
 def industry_affinity(t):
-    out = P.industry_affinity(interested(t), t.purchases.select(F.col("customer_id").alias("user_id")))
+    out = P.industry_affinity(interested(t), items(t))
     return out.where("industry is not null").select("request_id", "item_id", "industry")
 
 
@@ -133,7 +133,7 @@ def mismatch_penalty(t):
 
 @query("region_affinity", "SELECT * FROM t_region_aff")
 def region_affinity(t):
-    out = P.region_affinity(candidates(t), P.user_region(t.contracts, users(t)), t.contracts)
+    out = P.region_affinity(candidates(t), P.user_region(t.regional_facts, users(t)), t.regional_facts)
     return out.where("region is not null").select("request_id", "item_id", "regional_cnt", "region")
 
 
@@ -148,17 +148,18 @@ def co_purchase_boost(t):
     return P.co_purchase_boost(candidates(t), items(t), all_items(t))
 
 
-def factors(t):
-    """Candidates with every personal factor."""
+def factors(t, base=None):
+    """Candidates (lexical ones by default) with every personal factor."""
     own = items(t)
-    cands = interested(t)
+    base = candidates(t) if base is None else base
+    cands = interested(t, base)
     cands = P.history_boost(cands, own)
     cands = P.category_affinity(cands, P.user_categories(own, t.catalog_base))
     cands = P.industry_affinity(cands, own.select("user_id"))
     cands = P.mismatch_penalty(cands)
-    cands = P.region_affinity(cands, P.user_region(t.contracts, users(t)), t.contracts)
+    cands = P.region_affinity(cands, P.user_region(t.regional_facts, users(t)), t.regional_facts)
     cands = P.session_event_boost(cands, t.user_events)
-    co = P.co_purchase_boost(candidates(t), own, all_items(t)).drop("neighbour_count")
+    co = P.co_purchase_boost(base, own, all_items(t)).drop("neighbour_count")
     return P.net_score(cands.join(co, ["request_id", "item_id"], "left"))
 
 
@@ -267,7 +268,7 @@ SELECT coalesce(b.user_id, s.user_id) AS user_id, coalesce(b.item_id, s.item_id)
 FROM t_user_items b FULL JOIN t_sets s ON s.user_id = b.user_id AND s.item_id = b.item_id
 """)
 shared("t_rerank", """
-SELECT request_id, item_id, round(p, 6) AS personal_score, round(ts_score + round(p, 6), 6) AS final_score, concat_ws('|',
+SELECT request_id, item_id, round(p, 8) AS personal_score, round(base_score + round(p, 8), 8) AS final_score, concat_ws('|',
   CASE WHEN weight IS NOT NULL THEN 'Matches your frequent category ''' || category || ''' (' || CAST(floor(weight * 100 + 1e-9) AS INT) || '% of purchases)' END,
   CASE WHEN sim > 0.5 THEN 'Similar to your purchase history profile' END,
   CASE WHEN is_positive THEN 'Previously purchased item' END,
@@ -279,8 +280,8 @@ FROM (SELECT *, coalesce(weight * 0.3, 0) + coalesce(sim * 0.15, 0) + CASE WHEN
 """)
 
 
-def marks(t, own):
-    sets = P.profile_update_sets(t.user_events)
+def marks(t, own, sets=None):
+    sets = P.profile_update_sets(t.user_events) if sets is None else sets
     return own.select("user_id", "item_id", F.lit(True).alias("b")).join(sets, ["user_id", "item_id"], "full").select(
         "user_id", "item_id",
         (F.coalesce("b", F.lit(False)) | F.coalesce("is_positive", F.lit(False))).alias("is_positive"),
@@ -290,8 +291,7 @@ def marks(t, own):
 
 @query("profile_rerank", "SELECT * FROM t_rerank")
 def profile_rerank(t):
-    cands = candidates(t).withColumn("base_score", F.col("ts_score"))
-    out = P.profile_rerank(cands, folded(t), P.profile_vectors(items(t), t.item_vectors), t.item_vectors, marks(t, items(t)))
+    out = P.profile_rerank(candidates(t), folded(t), P.profile_vectors(items(t), t.item_vectors), t.item_vectors, marks(t, items(t)))
     return out.select("request_id", "item_id", "personal_score", "final_score", F.array_join("reasons", "|").alias("reasons"))
 
 

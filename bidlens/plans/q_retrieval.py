@@ -7,6 +7,7 @@ from bidlens.functions import vectors as V
 from bidlens.operators import retrieval as R
 from bidlens.plans.q_text import STOP, words_sql
 from bidlens.plans.registry import query, shared
+from bidlens.session import cut_lineage
 
 
 def docs(t):
@@ -147,7 +148,8 @@ def query_kinds(t):
 def fused(t):
     kinds = query_kinds(t)
     bm25 = R.bm25_score(R.query_terms(log_queries(t)), name_index(t), "item_id", 400).join(kinds, "query").where("rk <= top_k * 5")
-    sem = R.vector_topk(query_vectors(t), t.item_vectors, 400).join(kinds, "query").where("rn <= top_k * 5")
+    asked = cut_lineage(query_vectors(t), "query-vectors")  # read twice: counted, then matched
+    sem = R.vector_topk(asked, t.item_vectors, 400).join(kinds, "query").where("rn <= top_k * 5")
     return R.hybrid_fuse(bm25, sem, kinds)
 
 
@@ -330,18 +332,33 @@ def facets(t):
 
 def candidates(t):
     """Lexical candidates of every request, with the catalogue columns."""
-    hits = R.enrich_candidates(query_hits(t), t.catalog)
-    return t.requests.join(hits.drop("n_terms", "rn"), "query")
+    hits = R.enrich_candidates(query_hits(t), t.catalog).drop("n_terms", "rn")
+    hits = hits.withColumn("bm25_score", F.col("ts_score")).withColumn("semantic_score", F.lit(0.0)).withColumn(
+        "base_score", F.col("ts_score")
+    )
+    return t.requests.join(hits, "query")
+
+
+def hybrid_candidates(t):
+    """Fused BM25 and vector candidates of every request."""
+    hits = R.enrich_candidates(fused(t), t.catalog).drop("rn", "query_type")
+    return t.requests.join(hits, "query")
+
+
+shared("t_hcands", """
+SELECT r.request_id, r.user_id, r.session_id, r.query, r.segment, h.item_id, h.bm25_score, h.semantic_score, h.base_score,
+  c.name, c.category, c.order_count
+FROM t_requests r JOIN t_fused h USING (query) JOIN t_catalog c USING (item_id)
+""")
 
 
 shared("t_pinned", """
 SELECT request_id, item_id, CASE WHEN lower(name) = query THEN CASE WHEN category IN (SELECT category FROM t_domain)
     AND segment IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t_industry_categories x WHERE x.industry = segment AND x.category = c.category)
-  THEN 0.3 ELSE 999.0 END ELSE ts_score END AS base_score, lower(name) = query AS pinned FROM t_cands c
+  THEN 0.3 ELSE 999.0 END ELSE base_score END AS base_score, lower(name) = query AS pinned FROM t_cands c
 """)
 
 
 @query("exact_pin", "SELECT * FROM t_pinned")
 def exact_pin(t):
-    cands = candidates(t).withColumn("base_score", F.col("ts_score"))
-    return R.exact_pin(cands, t.industry_categories, t.domain_categories).select("request_id", "item_id", "base_score", "pinned")
+    return R.exact_pin(candidates(t), t.industry_categories, t.domain_categories).select("request_id", "item_id", "base_score", "pinned")

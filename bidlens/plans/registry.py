@@ -21,6 +21,25 @@ def shared(name: str, sql: str) -> None:
     SHARED_SQL[name] = sql.strip()
 
 
+def fork(base: str, other: str, suffix: str) -> None:
+    """Copy every named subquery that rests on ``base`` so that it rests on ``other``."""
+    touched = {base}
+    while True:
+        more = {
+            n for n, sql in SHARED_SQL.items()
+            if n not in touched and n != other and any(re.search(rf"\b{d}\b", sql) for d in touched)
+        }
+        if not more:
+            break
+        touched |= more
+    names = {n: (other if n == base else n + suffix) for n in touched}
+    for n in touched - {base}:
+        sql = SHARED_SQL[n]
+        for old, new in names.items():
+            sql = re.sub(rf"\b{old}\b", new, sql)
+        SHARED_SQL[names[n]] = sql
+
+
 def statement(body: str) -> str:
     """Prefix ``body`` with the named subqueries it mentions, in dependency order."""
     order: list[str] = []

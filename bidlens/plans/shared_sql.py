@@ -99,6 +99,7 @@ SELECT query, item_id, ts_score FROM (
 WHERE rn <= CASE WHEN n_terms >= 2 THEN 80 ELSE 30 END
 """)
 shared("t_cands", """
-SELECT r.request_id, r.user_id, r.session_id, r.query, r.segment, h.item_id, h.ts_score, c.name, c.category, c.order_count
+SELECT r.request_id, r.user_id, r.session_id, r.query, r.segment, h.item_id, h.ts_score, h.ts_score AS bm25_score,
+  CAST(0 AS DOUBLE) AS semantic_score, h.ts_score AS base_score, c.name, c.category, c.order_count
 FROM t_requests r JOIN t_query_hits h USING (query) JOIN t_catalog c USING (item_id)
 """)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidlens.functions import dicts
+from bidlens.session import cut_lineage
 
 
 class Tables:
@@ -25,6 +26,12 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def keep(self, *names: str) -> "Tables":
+        """Write the named tables once to the shared folder, for plans that read them often."""
+        for name in names:
+            self.__dict__[name] = cut_lineage(getattr(self, name), name)
+        return self
+
     def dim(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 
@@ -43,7 +50,7 @@ class Tables:
 
     @cached_property
     def order_counts(self) -> DataFrame:
-        return self.purchases.groupBy("item_id").agg(F.count("*").alias("order_count"))
+        return self.facts.groupBy("item_id").agg(F.sum("times").alias("order_count"))
 
     @cached_property
     def catalog(self) -> DataFrame:
@@ -81,6 +88,18 @@ class Tables:
             )
         )
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Purchases counted per (user, item); counts, popularity and profiles all start here."""
+        return self.purchases.groupBy(F.col("customer_id").alias("user_id"), "item_id").agg(
+            F.count("*").alias("times"), F.max("contract_date").alias("last_date"), F.sum("cost").alias("volume")
+        )
+
+    @cached_property
+    def regional_facts(self) -> DataFrame:
+        regions = self.customer_regions.select(F.col("customer_id").alias("user_id"), "customer_region")
+        return self.facts.join(regions, "user_id")
+
     @cached_property
     def customer_regions(self) -> DataFrame:
         return (
