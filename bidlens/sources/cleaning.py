@@ -32,7 +32,7 @@ def typed_cast(df: DataFrame, ints: list[str] = (), numbers: list[str] = (), day
 
 def dedup_attributes(c: Column) -> Column:
     """Drop repeated ``k:v`` pairs of a ``;`` list, keeping the order."""
-    pairs = F.filter(F.transform(F.split(c, ";"), F.trim), lambda p: p != "")
+    pairs = F.filter(F.transform(F.split(c, ";"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(c.isNull() | (c == "nan"), "").otherwise(F.array_join(F.array_distinct(pairs), "; "))
 
 
