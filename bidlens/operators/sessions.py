@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bidlens.operators.analytics import top_per_group
 
@@ -47,9 +48,9 @@ def signal(event_type: Column) -> Column:
 
 def activity_sessions(events: DataFrame, keys: list[str], gap: str = SESSION_GAP) -> DataFrame:
     """Activity windows that end after ``gap`` without events; sessions of one key merge."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(
-        *keys, F.session_window("ts", gap).alias("w")
-    )
+    if not isinstance(events.schema["ts"].dataType, T.TimestampType):  # a cast would lose a watermark
+        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.groupBy(*keys, F.session_window("ts", gap).alias("w"))
 
 
 def session_counters(events: DataFrame) -> DataFrame:

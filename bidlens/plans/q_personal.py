@@ -14,7 +14,7 @@ def users(t):
 
 
 def items(t):
-    return P.items_of(t.facts, users(t))
+    return t.stage("items", lambda: P.items_of(t.facts, users(t)))
 
 
 def all_items(t):
@@ -22,7 +22,11 @@ def all_items(t):
 
 
 def categories(t):
-    return P.user_categories(items(t), t.catalog_base)
+    return t.stage("categories", lambda: P.user_categories(items(t), t.catalog_base))
+
+
+def vectors(t):
+    return t.stage("profile-vectors", lambda: P.profile_vectors(items(t), t.item_vectors))
 
 
 def actions(t):
@@ -35,7 +39,10 @@ def event_now(t):
 
 def interested(t, base=None):
     likes = P.effective_interests(t.requests, t.profiles)
-    lists = P.interest_categories(likes, t.industry_categories, t.universal_categories, t.domain_categories)
+    lists = t.stage(
+        "interest-lists",
+        lambda: P.interest_categories(likes, t.industry_categories, t.universal_categories, t.domain_categories),
+    )
     return P.with_interests(candidates(t) if base is None else base, likes, lists)
 
 
@@ -154,12 +161,12 @@ def factors(t, base=None):
     base = candidates(t) if base is None else base
     cands = interested(t, base)
     cands = P.history_boost(cands, own)
-    cands = P.category_affinity(cands, P.user_categories(own, t.catalog_base))
+    cands = P.category_affinity(cands, categories(t))
     cands = P.industry_affinity(cands, own.select("user_id"))
     cands = P.mismatch_penalty(cands)
     cands = P.region_affinity(cands, P.user_region(t.regional_facts, users(t)), t.regional_facts)
     cands = P.session_event_boost(cands, t.user_events)
-    co = P.co_purchase_boost(base, own, all_items(t)).drop("neighbour_count")
+    co = t.stage("co-purchase", lambda: P.co_purchase_boost(base, own, all_items(t)).drop("neighbour_count"))
     return P.net_score(cands.join(co, ["request_id", "item_id"], "left"))
 
 
@@ -234,8 +241,11 @@ SELECT user_id, category, round(sum(w), 6) AS weight FROM a GROUP BY 1, 2
 
 
 def folded(t):
-    start = P.category_weights(P.user_categories(all_items(t), t.catalog_base))
-    return P.profile_update_weights(start, t.user_events, actions(t))
+    def build():
+        start = P.category_weights(P.user_categories(all_items(t), t.catalog_base))
+        return P.profile_update_weights(start, t.user_events, actions(t))
+
+    return t.stage("weights", build)
 
 
 @query("profile_update_weights", "SELECT * FROM t_folded")
@@ -280,8 +290,12 @@ FROM (SELECT *, coalesce(weight * 0.3, 0) + coalesce(sim * 0.15, 0) + CASE WHEN
 """)
 
 
-def marks(t, own, sets=None):
-    sets = P.profile_update_sets(t.user_events) if sets is None else sets
+def item_sets(t):
+    return t.stage("item-sets", lambda: P.profile_update_sets(t.user_events))
+
+
+def marks(t, own):
+    sets = item_sets(t)
     return own.select("user_id", "item_id", F.lit(True).alias("b")).join(sets, ["user_id", "item_id"], "full").select(
         "user_id", "item_id",
         (F.coalesce("b", F.lit(False)) | F.coalesce("is_positive", F.lit(False))).alias("is_positive"),
@@ -291,7 +305,7 @@ def marks(t, own, sets=None):
 
 @query("profile_rerank", "SELECT * FROM t_rerank")
 def profile_rerank(t):
-    out = P.profile_rerank(candidates(t), folded(t), P.profile_vectors(items(t), t.item_vectors), t.item_vectors, marks(t, items(t)))
+    out = P.profile_rerank(candidates(t), folded(t), vectors(t), t.item_vectors, marks(t, items(t)))
     return out.select("request_id", "item_id", "personal_score", "final_score", F.array_join("reasons", "|").alias("reasons"))
 
 

@@ -128,7 +128,7 @@ def name_match_bonus(t):
 
 @query("intent_multipliers", "SELECT request_id, item_id, intent, boost, net_score, base_score FROM t_adjusted")
 def intent_multipliers(t):
-    return search.scored(t, candidates(t)).select("request_id", "item_id", "intent", "boost", "net_score", "base_score")
+    return search.scored(t).select("request_id", "item_id", "intent", "boost", "net_score", "base_score")
 
 
 @query("session_delta", "SELECT * FROM t_session_total")
@@ -138,16 +138,16 @@ def session_delta(t):
 
 @query("blend_model", "SELECT request_id, item_id, score FROM t_blend")
 def blend_model(t):
-    return search.scored(t, candidates(t)).select("request_id", "item_id", "score")
+    return search.scored(t).select("request_id", "item_id", "score")
 
 
 @query("blend_fallback", "SELECT request_id, item_id, score_fallback FROM t_blend")
 def blend_fallback(t):
-    return search.scored(t, candidates(t)).select("request_id", "item_id", "score_fallback")
+    return search.scored(t).select("request_id", "item_id", "score_fallback")
 
 
 def ranked(t):
-    return K.final_order(search.scored(t, candidates(t)))
+    return K.final_order(search.scored(t))
 
 
 @query("final_order", "SELECT request_id, item_id, position, score FROM t_ranked")

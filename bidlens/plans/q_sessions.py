@@ -52,8 +52,12 @@ def session_counters(t):
     return S.session_counters(t.user_events).withColumn("started_at", stamp("started_at")).withColumn("last_at", stamp("last_at"))
 
 
+def counters(t):
+    return t.stage("counters", lambda: S.session_counters(t.user_events))
+
+
 def live(t):
-    return S.live_counters(S.session_counters(t.user_events))
+    return S.live_counters(counters(t))
 
 
 shared("t_session_delta", """
@@ -90,7 +94,7 @@ def remembered(t):
     old = t.user_events.where("event_type in ('like', 'hide')").select(
         "user_id", "item_id", S.signal(F.col("event_type")).alias("sign"), F.col("ts").cast("timestamp").alias("last_at")
     )
-    return S.flush_strong_signals(old, S.session_counters(t.user_events))
+    return t.stage("memory", lambda: S.flush_strong_signals(old, counters(t)))
 
 
 @query("flush_strong_signals", "SELECT * FROM t_remembered")
@@ -139,7 +143,7 @@ SELECT user_id, item_id, state, last_at FROM (SELECT user_id, item_id, arg_max(e
 
 
 def likes(t):
-    return S.like_dislike_state(t.user_events, now(t))
+    return t.stage("votes", lambda: S.like_dislike_state(t.user_events, now(t)))
 
 
 @query("like_dislike_state", "SELECT user_id, item_id, state FROM t_likes_state")

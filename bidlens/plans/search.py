@@ -14,21 +14,22 @@ from bidlens.operators import retrieval as R
 from bidlens.operators import sessions as S
 from bidlens.plans import q_personal as QP
 from bidlens.plans.q_analytics import as_of
-from bidlens.plans.q_retrieval import hybrid_candidates
+from bidlens.plans.q_retrieval import candidates, hybrid_candidates
 from bidlens.plans.q_sessions import likes, live, remembered
 from bidlens.plans.q_text import strategy_dim
-from bidlens.session import cut_lineage
 
 
 def features(t, cands: DataFrame) -> DataFrame:
     own = QP.items(t)
-    counts = P.profile_counts(own).select("user_id", "interaction_count")
-    sets = P.profile_update_sets(t.user_events)
-    clicks = sets.groupBy("user_id").agg(F.sum("session_clicks").alias("session_clicks"))
-    users = counts.join(clicks, "user_id", "full")
+
+    def user_counts():
+        clicks = QP.item_sets(t).groupBy("user_id").agg(F.sum("session_clicks").alias("session_clicks"))
+        return P.profile_counts(own).select("user_id", "interaction_count").join(clicks, "user_id", "full")
+
+    popularity = t.stage("popularity", lambda: A.item_popularity(t.facts))
     return K.ltr_features(
-        cands, QP.folded(t), P.profile_vectors(own, t.item_vectors), t.item_vectors, QP.marks(t, own, sets), users,
-        A.item_popularity(t.facts),
+        cands, QP.folded(t), QP.vectors(t), t.item_vectors, t.stage("marks", lambda: QP.marks(t, own)),
+        t.stage("user-counts", user_counts), popularity,
     )
 
 
@@ -41,14 +42,20 @@ def intent_text(df: DataFrame) -> DataFrame:
 def with_session(t, cands: DataFrame) -> DataFrame:
     out = cands.join(S.session_adjustments(live(t)), ["user_id", "session_id", "item_id"], "left")
     out = S.cross_session_adjustments(out, remembered(t))
-    out = S.momentum_boost(out, S.category_momentum(t.user_events))
+    out = S.momentum_boost(out, t.stage("momentum", lambda: S.category_momentum(t.user_events)))
     out = out.join(S.like_dislike_boost(likes(t)), ["user_id", "item_id"], "left")
-    out = S.collective_boost(out, S.collective_patterns(t.user_events))
+    out = S.collective_boost(out, t.stage("patterns", lambda: S.collective_patterns(t.user_events)))
     return K.session_delta(out)
 
 
-def scored(t, base: DataFrame) -> DataFrame:
-    """Candidates with factors, features, session signals and the blended score."""
+def scored(t, find=candidates) -> DataFrame:
+    """Candidates with factors, features, session signals and the blended score.
+
+    Signal tables (counted purchases, profiles, session state, popularity) are written to the
+    shared folder once; scoring is then one pass of joins whose small sides Spark sees the size of.
+    """
+    t.staged()
+    base = t.stage("candidates", lambda: find(t))
     pinned = R.exact_pin(base, t.industry_categories, t.domain_categories)
     peak = F.max("order_count").over(W.partitionBy("request_id"))  # bounded by the page pool
     pinned = pinned.withColumn("popularity_norm", F.round(F.col("order_count") / F.greatest(peak, F.lit(1)), 6))
@@ -63,12 +70,9 @@ def scored(t, base: DataFrame) -> DataFrame:
 def batch_search(t) -> DataFrame:
     """One page of results per request, with price and explanations.
 
-    Counted purchases, shaped events, requests and candidates (found once per distinct query) are
-    written to the shared folder once, because many factors read them.
+    Candidates are found once per distinct query, not per request.
     """
-    t.keep("facts", "user_events", "requests")
-    base = cut_lineage(hybrid_candidates(t))
-    page = K.paginate(K.final_order(scored(t, base)))
+    page = K.paginate(K.final_order(scored(t, hybrid_candidates)))
     prices = A.price_info(t.purchases, as_of(t))
     return page.join(prices, "item_id", "left").select(
         "request_id", "position", "item_id", "name", "category", K.shown("score"), "intent",

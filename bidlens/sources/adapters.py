@@ -22,6 +22,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._stages: dict[str, DataFrame] | None = None
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -32,6 +33,21 @@ class Tables:
             self.__dict__[name] = cut_lineage(getattr(self, name), name)
         return self
 
+    def staged(self) -> "Tables":
+        """From now on keep signal tables: each is written once and read by every later step."""
+        if self._stages is None:
+            self._stages = {}
+            self.keep("facts", "user_events", "requests")
+        return self
+
+    def stage(self, name: str, build) -> DataFrame:
+        """The signal table ``name``; written once if staging is on, else just the plan."""
+        if self._stages is None:
+            return build()
+        if name not in self._stages:
+            self._stages[name] = cut_lineage(build(), name)
+        return self._stages[name]
+
     def dim(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
 

@@ -81,7 +81,8 @@ def bounce_detection(events: DataFrame, seconds: float = 4.0) -> DataFrame:
                     out.append((user, session, last[0], last[1], (us - last[3]) / 1e6))
                 last = (int(item), int(event), kind, int(us))
             state.update(last)
-        yield pd.DataFrame(out, columns=["user_id", "session_id", "item_id", "event_id", "open_seconds"])
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "session_id", "item_id", "event_id", "open_seconds"])
 
     keyed = events.select(
         "user_id", "session_id", "item_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
