@@ -24,7 +24,7 @@ def normalize_units(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    text = normalize_units(squeeze(F.lower(c)))
+    text = normalize_units(F.lower(c))
     return squeeze(F.regexp_replace(text, r"[^\p{L}\p{N}_\s\p{Z}.-]", " "))
 
 

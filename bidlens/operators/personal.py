@@ -19,6 +19,7 @@ from bidlens.operators.analytics import top_per_group
 
 HALF_LIFE_DAYS = 14
 BOOST, NEGATIVE = 0.3, 0.8
+HEAVY_BUYER = 1000  # distinct items from which a neighbour is looked up, not listed
 
 
 # ---- history -----------------------------------------------------------------------------
@@ -186,12 +187,23 @@ def co_purchase_boost(
         items.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"
     )
     bought = all_items.select(F.col("user_id").alias("neighbour_id"), "item_id")
-    counts = (
-        new_pairs.join(near, "user_id")
+    heavy = bought.groupBy("neighbour_id").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY_BUYER).select("neighbour_id")
+    # usual neighbours: list their items, at most HEAVY_BUYER per pair, and keep the candidates
+    listed = (
+        near.join(heavy, "neighbour_id", "left_anti")
+        .join(bought, "neighbour_id")
+        .groupBy("user_id", "item_id")
+        .agg(F.count("*").alias("n"))
+        .join(new_pairs, ["user_id", "item_id"], "left_semi")
+    )
+    # buyers of very many items: look up the candidates instead
+    looked_up = (
+        new_pairs.join(near.join(heavy, "neighbour_id", "left_semi"), "user_id")
         .join(bought, ["neighbour_id", "item_id"], "left_semi")
         .groupBy("user_id", "item_id")
-        .agg(F.count("*").alias("neighbour_count"))
+        .agg(F.count("*").alias("n"))
     )
+    counts = listed.unionByName(looked_up).groupBy("user_id", "item_id").agg(F.sum("n").alias("neighbour_count"))
     rows = cands.select("request_id", "user_id", "item_id").join(counts, ["user_id", "item_id"])
     best = top_per_group(rows, "request_id", [F.desc("neighbour_count"), "item_id"], top)
     peak = F.max("neighbour_count").over(W.partitionBy("request_id"))  # at most ``top`` rows

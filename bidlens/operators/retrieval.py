@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bidlens.functions import text as X
-from bidlens.functions.skew import salted_join
+from bidlens.functions.skew import hot_salted_join, salted_join
 from bidlens.functions.vectors import dot
 from bidlens.operators.analytics import top_per_group
 
@@ -31,21 +31,22 @@ def term_postings(docs: DataFrame, key: str, tokens: str) -> DataFrame:
     )
 
 
-def corpus_totals(docs: DataFrame, tokens: str) -> DataFrame:
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens)).alias("avg_dl"))
-
-
-def corpus_stats(docs: DataFrame, postings: DataFrame, tokens: str) -> DataFrame:
-    """Document frequency per term next to the corpus totals."""
-    total = corpus_totals(docs, tokens).select(F.struct("n_docs", "avg_dl").alias("t")).scalar()
+def corpus_stats(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Document frequency per term next to the corpus totals; only postings carry the texts."""
+    n_docs = docs.select(F.count("*")).scalar()
+    length = postings.select(F.sum("tf")).scalar()
     return postings.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term", "df", total["n_docs"].alias("n_docs"), total["avg_dl"].alias("avg_dl")
+        "term", "df", n_docs.alias("n_docs"), (length / n_docs).alias("avg_dl")
     )
 
 
 def bm25_index(postings: DataFrame, stats: DataFrame, key: str) -> DataFrame:
-    """Impact of every posting. Frequent terms are spread over several tasks."""
-    joined = salted_join(postings, stats, ["term"], [key])
+    """Impact of every posting. Frequent terms are spread over several tasks.
+
+    A term is frequent if one percent of the documents have it; there are at most a hundred times
+    as many such terms as an average document has distinct ones, however large the corpus.
+    """
+    joined = hot_salted_join(postings, stats, "term", [key], F.col("df") > F.col("n_docs") * 0.01)
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avg_dl", F.lit(1e-9)))

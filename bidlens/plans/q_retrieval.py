@@ -19,9 +19,8 @@ def names(t):
 
 
 def doc_index(t):
-    d = docs(t)
-    p = R.term_postings(d, "doc_id", "tokens")
-    return R.bm25_index(p, R.corpus_stats(d, p, "tokens"), "doc_id")
+    p = cut_lineage(R.term_postings(docs(t), "doc_id", "tokens"), "postings")  # texts are split once
+    return R.bm25_index(p, R.corpus_stats(t.documents, p), "doc_id")
 
 
 def name_postings(t):
@@ -30,7 +29,7 @@ def name_postings(t):
 
 def name_index(t):
     p = name_postings(t)
-    return R.bm25_index(p, R.corpus_stats(names(t), p, "tokens"), "item_id")
+    return R.bm25_index(p, R.corpus_stats(t.catalog_base, p), "item_id")
 
 
 def log_queries(t):
@@ -67,8 +66,7 @@ def term_postings(t):
 
 @query("corpus_stats", "SELECT term, df, n_docs, round(avg_dl, 6) AS avg_dl FROM t_doc_stats")
 def corpus_stats(t):
-    d = docs(t)
-    out = R.corpus_stats(d, R.term_postings(d, "doc_id", "tokens"), "tokens")
+    out = R.corpus_stats(t.documents, R.term_postings(docs(t), "doc_id", "tokens"))
     return out.withColumn("avg_dl", F.round("avg_dl", 6))
 
 
