@@ -334,13 +334,13 @@ def candidates(t):
     hits = hits.withColumn("bm25_score", F.col("ts_score")).withColumn("semantic_score", F.lit(0.0)).withColumn(
         "base_score", F.col("ts_score")
     )
-    return t.requests.join(hits, "query")
+    return t.fan_out(hits)
 
 
 def hybrid_candidates(t):
     """Fused BM25 and vector candidates of every request."""
     hits = R.enrich_candidates(fused(t), t.catalog).drop("rn", "query_type")
-    return t.requests.join(hits, "query")
+    return t.fan_out(hits)
 
 
 shared("t_hcands", """

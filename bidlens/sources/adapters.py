@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidlens.functions import dicts
+from bidlens.functions.skew import salted_join
 from bidlens.session import cut_lineage
 
 
@@ -27,6 +28,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all cores if the file has fewer splits than that; large inputs stay as they are."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def keep(self, *names: str) -> "Tables":
         """Write the named tables once to the shared folder, for plans that read them often."""
         for name in names:
@@ -211,6 +217,17 @@ class Tables:
             )
         )
 
+    def fan_out(self, hits: DataFrame) -> DataFrame:
+        """Candidate rows of every request from the hits of its query, hashed by request.
+
+        A query asked very often is spread over several tasks; later steps per request find their
+        rows in place. The number of tasks is fixed, as size-based merging would see only the few
+        bytes before the fan-out.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        tasks = max(cores, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return salted_join(self.requests, hits, ["query"], ["request_id"]).repartition(tasks, "request_id")
+
     # ---- vectors and text ----------------------------------------------------------
     @cached_property
     def item_vectors(self) -> DataFrame:
@@ -220,7 +237,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.raw("documents")
+        return self.spread(self.raw("documents"))
 
 
 def shape_events(events: DataFrame, catalog: DataFrame) -> DataFrame:
