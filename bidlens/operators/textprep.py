@@ -33,9 +33,9 @@ def lemmatize(df: DataFrame, key: str, tokens: str, lemmas: DataFrame, out: str
 
 def transliterate(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """Latin words to Cyrillic: whole phrase, then word by dictionary, then by letters."""
-    q = df.select(key, X.squeeze(F.lower(text)).alias("q"))
+    q = df.select(key, X.squeeze(F.lower(text)).alias("_q"))
     by_word = (
-        q.select(key, F.posexplode(F.split("q", " ")).alias("pos", "term"))
+        q.select(key, F.posexplode(F.split("_q", " ")).alias("pos", "term"))
         .join(terms, "term", "left")
         .select(
             key,
@@ -49,9 +49,9 @@ def transliterate(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataF
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("s")).alias("ws"))
     )
-    phrase = terms.select(F.col("term").alias("q"), F.col("replacement").alias("phrase"))
+    phrase = terms.select(F.col("term").alias("_q"), F.col("replacement").alias("phrase"))
     return (
-        q.join(phrase, "q", "left")
+        q.join(phrase, "_q", "left")
         .join(by_word, key)
         .select(
             key,

@@ -75,7 +75,7 @@ def test_typo_keys_lose_nothing(spark):
 def test_transliterate(spark):
     terms = spark.createDataFrame([("printer", "принтер"), ("printer laser", "принтер лазерный")], "term string, replacement string")
     rows = spark.createDataFrame([("printer laser",), ("shhuka printer",), ("стол",)], "q string")
-    got = {r.q: (r.transliterated, r.was_changed) for r in P.transliterate(rows.withColumn("k", F.col("q")), "q", "k", terms).collect()}
+    got = {r.k: (r.transliterated, r.was_changed) for r in P.transliterate(rows.withColumn("k", F.col("q")), "q", "k", terms).collect()}
     assert got["printer laser"] == ("принтер лазерный", True)
     assert got["shhuka printer"] == ("щука принтер", True)
     assert got["стол"] == ("стол", False)
