@@ -182,7 +182,7 @@ def rank_check(t):
 
 def before_after(t):
     after = ranked(t)
-    raw = candidates(t).select("request_id", "item_id", "name", F.col("base_score").alias("raw"))
+    raw = t.stage("candidates", lambda: candidates(t)).select("request_id", "item_id", "name", F.col("base_score").alias("raw"))
     before = A.top_per_group(raw, "request_id", [F.desc("raw"), "item_id"], 1000).withColumnRenamed("rn", "position")
     return before, after
 
