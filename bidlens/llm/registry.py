@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bidlens.llm import bpe, chat, factor, mixing, oracles, qualityrules, secretscan, topk, urlrules
+from bidlens.llm import bpe, chat, factor, mixing, oracles, qualityrules, secretscan, setjoin, suffix, topk, urlrules
 from bidlens.llm.tables import load
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,14 @@ def op5_chat_rotation(spark, folder):
     return chat.rotate_perspectives(load(spark, folder, "conversations"))
 
 
+def op6_jaccard_join(spark, folder):
+    return setjoin.jaccard_components(load(spark, folder, "documents"))
+
+
+def op7_suffix_dedup(spark, folder):
+    return suffix.remove_repeats(load(spark, folder, "documents"))
+
+
 def op8_source_mix(spark, folder):
     return mixing.mix_sources(load(spark, folder, "documents"))
 
@@ -58,8 +66,8 @@ def op10_quality_rules(spark, folder):
 
 
 QUERIES = [
-    op1_topk_search, op2_secret_scan, op3_bpe, op4_url_filter, op5_chat_rotation, op8_source_mix,
-    op9_quality_classifier, op10_quality_rules,
+    op1_topk_search, op2_secret_scan, op3_bpe, op4_url_filter, op5_chat_rotation, op6_jaccard_join,
+    op7_suffix_dedup, op8_source_mix, op9_quality_classifier, op10_quality_rules,
 ]
 
 

@@ -23,7 +23,7 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
-    x = np.asarray(x, dtype=np.uint64)
+    x = np.atleast_1d(np.asarray(x, dtype=np.uint64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
