@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -16,11 +17,11 @@ from bidlens.llm.mixing import same
 from bidlens.llm.tables import stage
 from bidlens.llm.wordhash import mix, shingles, words
 
-SPARE = 4  # parts beyond the pigeonhole's need, so that sets with few empty parts need not list those
+SPARE = 12  # parts beyond the pigeonhole's need: linked sets share more parts than that
 RATIO = 1.6  # largest over smallest size of a band
 LIST_COST = 3  # cost of a list entry (it must be verified with whole sets) against a subset entry
-SKETCH = 32  # counters of a set's sketch
-COARSE = (64, 8, 1)  # rounds of linking: with every 64th list, every 8th, all
+SKETCH = 5, 16  # a sketch has about one counter per two elements, 2**5 to 2**16
+COARSE = (8, 1)  # rounds of linking: with every 8th list, with all
 
 
 @dataclass(frozen=True)
@@ -94,8 +95,8 @@ def subset_keys(tokens: np.ndarray, most_deleted: int) -> np.ndarray:
 def list_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
     """Keys of the inverted lists of a set in one band: one per part of the token space, for the tokens in it.
 
-    Two linked sets differ in fewer than m - SPARE parts, so they share more than SPARE equal parts. A set with at most
-    SPARE empty parts shares a filled one with every partner; only sets with more list their empty parts too.
+    Two linked sets differ in fewer than m - SPARE parts, so they share more than SPARE equal parts. A set with e empty
+    parts, at most SPARE, shares SPARE + 1 - e filled ones with every partner; only sets with more list empty parts too.
     """
     cuts = (np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
     at = np.concatenate(([0], np.searchsorted(tokens, cuts), [len(tokens)]))
@@ -105,25 +106,50 @@ def list_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
     return keys if m - int(filled.sum()) > SPARE else keys[filled]
 
 
-def keys_of(plan: Plan, tokens: np.ndarray) -> np.ndarray:
-    """All keys under which a set meets its possible partners.
+def keys_of(plan: Plan, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """All keys under which a set meets its possible partners, and how many of them any partner shares at least.
 
     A pair is sought by the scheme of its larger set: subsets up to the boundary, lists beyond. So a small set that may
     have a partner beyond the boundary enters lists as well.
     """
     n, x = len(tokens), boundary(plan)
-    out = []
+    out, least = [], SPARE + 1
     if n <= x:
         out.append(subset_keys(tokens, deletions(plan, n, x)))
+        least = 1
     bands = {band_of(t) for t in (max(n, x + 1), plan.largest(n)) if t > x and t >= n}
     if plan.largest(n) > x:
-        out += [list_keys(tokens, k, parts_of(plan, high)) for k, high in sorted(bands)]
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+        for k, high in sorted(bands):
+            m = parts_of(plan, high)
+            keys = list_keys(tokens, k, m)
+            out.append(keys)
+            least = min(least, max(1, SPARE + 1 - (m - len(keys)) if len(keys) < m else _filled_need(tokens, m)))
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), least
+
+
+def _filled_need(tokens: np.ndarray, m: int) -> int:
+    """Shared parts of a set that lists all its parts: SPARE + 1, or 1 if some of these may be empty ones."""
+    cuts = np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)
+    at = np.concatenate(([0], np.searchsorted(tokens, cuts), [len(tokens)]))
+    return SPARE + 1 if (at[1:] > at[:-1]).all() else 1
 
 
 def sketch_of(tokens: np.ndarray) -> bytes:
     """Counts of tokens by their lowest bits: two sets differ in at least as many elements as their counts do."""
-    return np.minimum(np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    counters = 1 << min(max(len(tokens).bit_length() - 1, SKETCH[0]), SKETCH[1])
+    return np.minimum(np.bincount((tokens & np.uint64(counters - 1)).astype(np.int64), minlength=counters), 255).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of one matrix: longer ones are folded to the shortest one's counters."""
+    least = min(map(len, sketches))
+    rows = [np.frombuffer(s, np.uint8).astype(np.int32) for s in sketches]
+    return np.stack([r if len(r) == least else r.reshape(-1, least).sum(axis=0) for r in rows])
+
+
+def clipped(sketch: np.ndarray) -> np.ndarray:
+    """A counter at 255 may stand for more; with both sides cut there, differences only shrink."""
+    return np.minimum(sketch, 255)
 
 
 def document_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -144,26 +170,32 @@ def summarise(plan: Plan):
             step = 256
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                sizes, digests, sketches, keys = [], [], [], []
+                sizes, digests, sketches, keys, least = [], [], [], [], []
                 for t in document_sets(part.column("text"), plan.size):
                     sizes.append(len(t))
                     digest = mix(mix(t).sum(dtype=np.uint64) ^ mix(np.uint64(len(t) + 99)))
                     digests.append(int(signed(digest)[0]) if len(t) else 0)
                     sketches.append(sketch_of(t))
-                    keys.append(signed(keys_of(plan, t)))
+                    own, need = keys_of(plan, t)
+                    keys.append(signed(own))
+                    least.append(need)
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ], names=["doc_id", "n", "cls", "sketch", "keys"])
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(least, pa.int32()),
+                ], names=["doc_id", "n", "cls", "sketch", "keys", "least"])
 
     return batches
 
 
 def token_batches(plan: Plan):
     def batches(source):
+        seen: set[int] = set()  # a repeated row gives its class once a task
         for batch in source:
+            ids = batch.column("cls").to_pylist()
+            new = [not (c in seen or seen.add(c)) for c in ids]
+            batch = batch.filter(pa.array(new, pa.bool_()))
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = [t.tobytes() for t in document_sets(part.column("text"), plan.size)]
@@ -180,8 +212,8 @@ def sketch_filter(plan: Plan):
             if not b.num_rows:
                 continue
             na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
-            sa, sb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("sa", "sb"))
-            apart = np.abs(sa - sb).sum(axis=1)
+            sketches = (clipped(folded([x.as_py(), y.as_py()])) for x, y in zip(b.column("sa"), b.column("sb")))
+            apart = np.array([np.abs(m[0] - m[1]).sum() for m in sketches])
             fits = (apart * (plan.num + plan.den) <= (plan.den - plan.num) * (na + nb)) & (plan.den * np.minimum(na, nb) >= plan.num * np.maximum(na, nb))
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(fits)), b.column("b").filter(pa.array(fits))], names=["a", "b"])
 
@@ -204,13 +236,21 @@ def verify(plan: Plan):
     return batches
 
 
-def linked_pairs(plan: Plan, pairs: DataFrame, classes: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) that are links; a first look at sketches spares most others."""
+def near_pairs(plan: Plan, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow to be links."""
     left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
         sketch_filter(plan), "a long, b long"
     )
+
+
+def linked_pairs(plan: Plan, near: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are linked; sets are made anew for the classes that occur in a pair only."""
+    ids = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
+    wanted = stage(classes.select("cls", F.col("first").alias("_f")).join(ids, "cls"), "wanted")
+    found = texts.join(wanted, same(("doc_id", "_f"))).select("cls", "text")
+    tokens = stage(found.mapInArrow(token_batches(plan), "cls long, tokens binary"), "tokens")
     full = near.join(tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(
         tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b"
     )
@@ -273,23 +313,38 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
         "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "sketch"
     )
 
-    def compared(key, table):
-        ids, comp, n, mine = (table.column(c).to_numpy() for c in ("cls", "comp", "n", "mine"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16)
-        p, q = key[1].as_py(), key[2].as_py()
+    def compared(p, q, mine, ids, comp, n, sketch):
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        a, b = [], []
         for i in left:
             other = right[(comp[right] != comp[i]) & (ids[right] > ids[i] if p == q else True)]
-            apart = np.abs(sketch[other] - sketch[i]).sum(axis=1)
             total, least, most = n[other] + n[i], np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-            fits = other[(apart * (plan.num + plan.den) <= (plan.den - plan.num) * total) & (plan.den * least >= plan.num * most)]
-            a += [np.minimum(ids[fits], ids[i])]
-            b += [np.maximum(ids[fits], ids[i])]
-        empty = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+            other = other[plan.den * least >= plan.num * most]
+            apart = np.abs(sketch[other] - sketch[i]).sum(axis=1)
+            fits = other[apart * (plan.num + plan.den) <= (plan.den - plan.num) * (n[other] + n[i])]
+            yield np.minimum(ids[fits], ids[i]), np.maximum(ids[fits], ids[i])
+
+    def streamed(source):
+        rest = None  # rows of the last group so far, a block pair of one list
+        for batch in chain(source, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            key, p, q, mine, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "mine", "cls", "comp", "n"))
+            head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
+            ends = np.append(head[1:], len(key))
+            if batch is not None:
+                rest, head, ends = table.slice(int(head[-1])), head[:-1], ends[:-1]
+            if not len(head):
+                continue
+            sketches = table.column("sketch").to_pylist()
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i, j in zip(head, ends):
+                for x, y in compared(p[i], q[i], mine[i:j], ids[i:j], comp[i:j], n[i:j], clipped(folded(sketches[i:j]))):
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    return meet.groupBy("key", "p", "q").applyInArrow(compared, "a long, b long").distinct()
+    return meet.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(streamed, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3) -> DataFrame:
@@ -309,25 +364,23 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int
     plan = Plan(num, den, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text")
-    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, n long, cls long, sketch binary, keys array<long>"), "sets")
+    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, n long, cls long, sketch binary, keys array<long>, least int"), "sets")
     filled = facts.where("n > 0")
-    firsts = stage(filled.groupBy("cls", "n").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch")), "classes")
+    firsts = stage(filled.groupBy("cls", "n").agg(
+        F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("least").alias("least")), "classes")
     reps = firsts.select(F.col("cls").alias("_c"), F.col("first").alias("_f"))
     entries = filled.select("doc_id", "cls", "keys").join(reps, same(("cls", "_c"), ("doc_id", "_f"))).select(
         "cls", F.explode("keys").alias("key")
     )
-    lists = stage(shared_lists(entries), "lists")
+    lists = stage(dense_lists(stage(shared_lists(entries), "lists"), firsts), "lists")
     used = lists.select("cls").distinct()
     classes = stage(firsts.join(used, "cls", "left_semi"), "used")
-    wanted = classes.select(F.col("first").alias("_f"), F.col("cls").alias("_c"))
-    texts = slim.join(wanted, same(("doc_id", "_f"))).select(F.col("_c").alias("cls"), "text")
-    tokens = stage(texts.mapInArrow(token_batches(plan), "cls long, tokens binary").dropDuplicates(["cls"]), "tokens")
     comps = classes.select("cls", F.col("cls").alias("comp"))
     for every in COARSE:
-        pairs = stage(center_pairs(lists, comps, every), "pairs")
-        comps = components(comps, stage(linked_pairs(plan, pairs, classes, tokens), "links"))
+        near = stage(near_pairs(plan, center_pairs(lists, comps, every), classes), "pairs")
+        comps = components(comps, stage(linked_pairs(plan, near, classes, slim), "links"))
     rest = stage(rest_pairs(lists, comps, classes, plan), "pairs")
-    comps = components(comps, stage(linked_pairs(plan, rest, classes, tokens), "links"))
+    comps = components(comps, stage(linked_pairs(plan, rest, classes, slim), "links"))
     named = comps.join(classes, "cls").groupBy("comp").agg(F.min("first").alias("smallest"))
     labels = comps.join(named, "comp").select(F.col("cls").alias("_c"), "smallest")
     everyone = firsts.join(labels, F.col("cls") == F.col("_c"), "left").select(
@@ -368,6 +421,20 @@ def shared_lists(entries: DataFrame) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(streamed, "cls long, key long").distinct()
 
 
+def dense_lists(lists: DataFrame, classes: DataFrame, passes: int = 2) -> DataFrame:
+    """``lists`` without classes that share fewer entries than any partner of theirs would share.
+
+    A class that goes takes its entries along, so lists of one go too, and another pass may find more.
+    """
+    need = classes.select("cls", "least")
+    for _ in range(passes):
+        enough = lists.groupBy("cls").agg(F.count("*").alias("held")).join(need, "cls").where(F.col("held") >= F.col("least")).select("cls")
+        left = lists.join(enough, "cls", "left_semi")
+        shared = left.groupBy("key").agg(F.min("cls").alias("one"), F.max("cls").alias("other")).where(F.col("one") != F.col("other"))
+        lists = left.join(shared.select("key"), "key", "left_semi")
+    return lists
+
+
 def one_of_each(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the smallest id stays.
 

@@ -98,6 +98,7 @@ def match_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     held = F.filter("stack", lambda r: F.startswith(F.col("path"), r["start"]))
     found = (
         spread.unionByName(starts)
+        .repartition("rhost", "part")  # not by rhost alone, as the joins left it
         .withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
         .where((F.col("kind") == 1) & F.col("stack").isNotNull())
         .withColumn("hit", F.try_element_at(held, F.lit(1)))
