@@ -107,6 +107,11 @@ def _query_counts(events: DataFrame, key: str) -> DataFrame:
     return asked.groupBy(key, "query").agg(F.count("*").alias("cnt"))
 
 
+def numbered(df: DataFrame, group: str, order: list) -> DataFrame:
+    """All rows with their place ``rn`` in the group."""
+    return df.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+
+
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """First ``k`` rows per group; Spark cuts each map task to ``k`` rows before the shuffle."""
     w = W.partitionBy(group).orderBy(*order)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bidlens.functions import dicts
 from bidlens.functions.text import squeeze
 from bidlens.functions.vectors import dot
-from bidlens.operators.analytics import top_per_group
+from bidlens.operators.analytics import numbered, top_per_group
 
 
 # ---- features and model scores -------------------------------------------------------------
@@ -153,20 +153,16 @@ def blend_fallback() -> Column:
 
 
 # ---- order and paging ----------------------------------------------------------------------
-def final_order(cands: DataFrame, score: str = "score", top: int = 1000) -> DataFrame:
-    """Position per request: mismatching items last, then the requested order.
-
-    A request has at most 800 candidates, so ``top`` cuts nothing but lets Spark limit early.
-    """
+def final_order(cands: DataFrame, score: str = "score") -> DataFrame:
+    """Position of every candidate of a request: mismatching items last, then the requested order."""
     late = F.exists("explanations", lambda e: e["factor"] == "profile_mismatch").cast("int")
     key = F.when(F.col("sort_by") == "popularity", -F.col("order_count").cast("double")).when(
         F.col("sort_by") == "name", 0.0
     ).otherwise(-F.col(score))
     named = F.when(F.col("sort_by") == "name", F.col("name")).otherwise("")
     keyed = cands.withColumn("_late", late).withColumn("_key", key).withColumn("_name", named)
-    return top_per_group(keyed, "request_id", ["_late", "_key", "_name", "item_id"], top).withColumnRenamed(
-        "rn", "position"
-    ).drop("_late", "_key", "_name")
+    return numbered(keyed, "request_id", ["_late", "_key", "_name", "item_id"]).withColumnRenamed("rn", "position").drop(
+        "_late", "_key", "_name")
 
 
 def paginate(ranked: DataFrame) -> DataFrame:
@@ -186,9 +182,9 @@ def rank_check(asked: DataFrame, ranked: DataFrame, top: int = 100) -> DataFrame
 
 
 def rank_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Places gained between two result sets of the same request."""
+    """Places gained between two result sets of a request; items in one of them only have no gain."""
     old = before.select("request_id", "item_id", F.col("position").alias("old_position"))
-    return after.select("request_id", "item_id", "position").join(old, ["request_id", "item_id"]).withColumn(
+    return after.select("request_id", "item_id", "position").join(old, ["request_id", "item_id"], "full").withColumn(
         "delta", F.col("old_position") - F.col("position")
     )
 

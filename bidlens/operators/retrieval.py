@@ -15,10 +15,9 @@ from pyspark.sql import types as T
 from bidlens.functions import text as X
 from bidlens.functions.skew import hot_salted_join, salted_join
 from bidlens.functions.vectors import dot
-from bidlens.operators.analytics import top_per_group
+from bidlens.operators.analytics import numbered, top_per_group
 
 K1, B = 1.5, 0.75
-MAX_POOL = 800  # largest page (100) times the widest pool factor (8)
 
 
 # ---- BM25 --------------------------------------------------------------------------------
@@ -184,7 +183,7 @@ def hybrid_fuse(bm25: DataFrame, semantic: DataFrame, kinds: DataFrame, query: s
         "base_score",
         F.round(F.col("alpha") * F.col("bm25_score") + (1 - F.col("alpha")) * F.col("semantic_score"), 6),
     )
-    best = top_per_group(scored, query, [F.desc("base_score"), "item_id"], MAX_POOL)
+    best = numbered(scored, query, [F.desc("base_score"), "item_id"])
     return best.where("rn <= top_k").drop("alpha", "top_k")
 
 
@@ -225,7 +224,7 @@ def lexical_all_terms(
     hits = lexical_any_rank(terms, postings, query).where("matched = n_terms")
     if categories is not None:
         hits = hits.join(categories, [query, "item_id"], "left_semi")
-    best = top_per_group(hits, query, [F.desc("ts_score"), "item_id"], MAX_POOL)
+    best = numbered(hits, query, [F.desc("ts_score"), "item_id"])
     return best.where(F.col("rn") <= pool_size(F.lit(limit), F.col("n_terms"))).select(
         query, "item_id", "n_terms", "ts_score", "rn"
     )

@@ -53,19 +53,40 @@ def activity_sessions(events: DataFrame, keys: list[str], gap: str = SESSION_GAP
     return events.groupBy(*keys, F.session_window("ts", gap).alias("w"))
 
 
+def session_signals(events: DataFrame, *fields: str) -> DataFrame:
+    """Sessions of (user, session) with the list of their events; any event prolongs the whole session."""
+    return activity_sessions(events, ["user_id", "session_id"]).agg(
+        F.collect_list(F.struct(*fields, "ts")).alias("signals")
+    ).select("user_id", "session_id", F.col("w.start").alias("started_at"), "signals")
+
+
+def per_kind(sessions: DataFrame, *fields: str) -> DataFrame:
+    """One row per session and kind of event, with ``own``, its times; works on streams, as nothing is grouped again."""
+    kinds = F.array_distinct(F.transform("signals", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+    rows = sessions.select("user_id", "session_id", "started_at", "signals", F.explode(kinds).alias("kind"))
+    kind = F.struct(*[F.col(f"kind.{f}").alias(f) for f in fields])
+    own = F.filter("signals", lambda x: F.struct(*[x[f].alias(f) for f in fields]).eqNullSafe(kind))
+    return rows.select("user_id", "session_id", "started_at", "kind.*", F.transform(own, lambda x: x["ts"]).alias("own"))
+
+
 def session_counters(events: DataFrame) -> DataFrame:
-    """Signals per (user, session, item, sign), at most three, inside one activity window."""
+    """Signals per (user, session, item, sign), at most three, inside one activity window of the session."""
     signed = events.withColumn("sign", signal(F.col("event_type")))
-    return activity_sessions(signed, ["user_id", "session_id", "item_id", "sign"]).agg(
-        F.least(F.count("*"), F.lit(SIGNAL_CAP)).alias("cnt"), F.max("ts").alias("last_at")
-    ).select("user_id", "session_id", "item_id", "sign", F.col("w.start").alias("started_at"), "cnt", "last_at")
+    return per_kind(session_signals(signed, "item_id", "sign"), "item_id", "sign").select(
+        "user_id", "session_id", "item_id", "sign", "started_at",
+        F.least(F.size("own").cast("long"), F.lit(SIGNAL_CAP)).alias("cnt"), F.array_max("own").alias("last_at"),
+    )
+
+
+def newest(windows: DataFrame) -> DataFrame:
+    """The rows of each session's newest activity window; older ones have expired."""
+    last = windows.groupBy("user_id", "session_id").agg(F.max("started_at").alias("started_at"))
+    return windows.join(last, ["user_id", "session_id", "started_at"], "left_semi")
 
 
 def live_counters(counters: DataFrame) -> DataFrame:
-    """The newest window of every counter."""
-    return counters.groupBy("user_id", "session_id", "item_id", "sign").agg(
-        F.max_by("cnt", "last_at").alias("cnt"), F.max("last_at").alias("last_at")
-    )
+    """The counters of every session's newest window."""
+    return newest(counters).select("user_id", "session_id", "item_id", "sign", "cnt", "last_at")
 
 
 def session_adjustments(counters: DataFrame) -> DataFrame:
@@ -122,16 +143,17 @@ def cross_session_adjustments(cands: DataFrame, remembered: DataFrame) -> DataFr
 
 # ---- momentum ----------------------------------------------------------------------------
 def category_momentum(events: DataFrame) -> DataFrame:
-    """Clicks, views and likes per (session, category) inside one activity window."""
-    moves = events.where("event_type in ('click', 'view', 'like') and category is not null")
-    return activity_sessions(moves, ["user_id", "session_id", "category"]).agg(
-        F.count("*").alias("n"), F.max("ts").alias("last_at")
-    ).select("user_id", "session_id", "category", F.col("w.start").alias("started_at"), "n", "last_at")
+    """Clicks, views and likes per (session, category) inside one activity window of the session."""
+    moved = F.when(F.col("event_type").isin("click", "view", "like"), F.col("category"))
+    sessions = session_signals(events.withColumn("category", moved), "category")
+    return per_kind(sessions, "category").where("category is not null").select(
+        "user_id", "session_id", "category", "started_at", F.size("own").cast("long").alias("n"), F.array_max("own").alias("last_at"),
+    )
 
 
 def momentum_boost(cands: DataFrame, momentum: DataFrame) -> DataFrame:
     """Adds ``momentum``: share of the session's strongest category, times 0.3."""
-    live = momentum.groupBy("user_id", "session_id", "category").agg(F.max_by("n", "last_at").alias("n"))
+    live = newest(momentum)
     peak = live.groupBy("user_id", "session_id").agg(F.max("n").alias("peak"))
     strength = live.join(peak, ["user_id", "session_id"]).select(
         "user_id", "session_id", "category", F.round(F.lit(0.3) * F.col("n") / F.col("peak"), 3).alias("momentum")
@@ -181,8 +203,10 @@ def popular_queries(events: DataFrame, top: int = 10) -> DataFrame:
 
 
 def recent_queries(events: DataFrame, now: Column, keep: int = 50, days: int = 30) -> DataFrame:
-    """Last 50 queries per user, newest first, of users active in the last 30 days."""
-    rows = asked(events).where(F.col("ts") >= now - F.expr(f"interval {days} days"))
+    """Last 50 queries per user, newest first, of users who asked in the last 30 days; older entries stay."""
+    active = asked(events).groupBy("user_id").agg(F.max("ts").alias("last")).where(
+        F.col("last") >= now - F.expr(f"interval {days} days"))
+    rows = asked(events).join(active, "user_id", "left_semi")
     return top_per_group(rows, "user_id", [F.desc("ts"), F.desc("event_id")], keep).select(
         "user_id", F.col("q").alias("query"), F.col("rn").alias("position")
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bidlens.operators import metrics as M
-from bidlens.operators.analytics import top_per_group
+from bidlens.operators.analytics import numbered
 from bidlens.plans.q_retrieval import candidates
 from bidlens.plans.registry import query, shared
 
@@ -30,7 +30,7 @@ def judged(t):
     )
     cands = candidates(t).select("request_id", "item_id", "base_score", "order_count").join(done, ["request_id", "item_id"], "left")
     cands = cands.withColumn("rel", F.coalesce("rel", F.lit(0)))
-    run = lambda name, order: top_per_group(cands, "request_id", [F.desc(order), "item_id"], 1000).select(
+    run = lambda name, order: numbered(cands, "request_id", [F.desc(order), "item_id"]).select(
         F.lit(name).alias("run"), F.col("request_id").alias("query_id"), F.col("rn").alias("rank"), "rel"
     )
     return run("baseline", "base_score").unionByName(run("popular", "order_count"))

@@ -183,12 +183,12 @@ def rank_check(t):
 def before_after(t):
     after = ranked(t)
     raw = t.stage("candidates", lambda: candidates(t)).select("request_id", "item_id", "name", F.col("base_score").alias("raw"))
-    before = A.top_per_group(raw, "request_id", [F.desc("raw"), "item_id"], 1000).withColumnRenamed("rn", "position")
+    before = A.numbered(raw, "request_id", [F.desc("raw"), "item_id"]).withColumnRenamed("rn", "position")
     return before, after
 
 
 @query("rank_delta", """
-SELECT request_id, item_id, r.position, b.position AS old_position, b.position - r.position AS delta FROM t_ranked r JOIN t_before b USING (request_id, item_id)
+SELECT request_id, item_id, r.position, b.position AS old_position, b.position - r.position AS delta FROM t_ranked r FULL JOIN t_before b USING (request_id, item_id)
 """)
 def rank_delta(t):
     return K.rank_delta(*before_after(t))

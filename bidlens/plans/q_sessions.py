@@ -27,21 +27,24 @@ def stamp(c):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def session_sql(keys, where):
-    return f"""
-SELECT {keys}, min(ts) AS started_at, count(*) AS n, max(ts) AS last_at FROM (
-  SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS s FROM (
-    SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY {keys} ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh
-    FROM (SELECT *, CASE WHEN event_type IN ('click', 'compare', 'like', 'view') THEN 'boosted' ELSE 'penalized' END AS sign FROM t_events) {where}))
-GROUP BY {keys}, s
-"""
-
-
-shared("t_counters", session_sql("user_id, session_id, item_id, sign", ""))
+shared("t_session_events", """
+SELECT *, min(ts) OVER (PARTITION BY user_id, session_id, s) AS started_at, max(ts) OVER (PARTITION BY user_id, session_id, s) AS ended_at FROM (
+  SELECT *, sum(fresh) OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) AS s FROM (
+    SELECT *, CASE WHEN event_type IN ('click', 'compare', 'like', 'view') THEN 'boosted' ELSE 'penalized' END AS sign,
+      CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS fresh
+    FROM t_events))
+""")
+shared("t_counters", """
+SELECT user_id, session_id, item_id, sign, started_at, ended_at, count(*) AS n, max(ts) AS last_at FROM t_session_events GROUP BY 1, 2, 3, 4, 5, 6
+""")
 shared("t_live", """
-SELECT user_id, session_id, item_id, sign, least(arg_max(n, last_at), 3) AS cnt, max(last_at) AS last_at FROM t_counters GROUP BY 1, 2, 3, 4
+SELECT user_id, session_id, item_id, sign, least(n, 3) AS cnt, last_at FROM t_counters
+QUALIFY started_at = max(started_at) OVER (PARTITION BY user_id, session_id)
+""")
+shared("t_momentum", """
+SELECT user_id, session_id, category, started_at, ended_at, count(*) AS n, max(ts) AS last_at FROM t_session_events
+WHERE event_type IN ('click', 'view', 'like') AND category IS NOT NULL GROUP BY 1, 2, 3, 4, 5
 """)
-shared("t_momentum", session_sql("user_id, session_id, category", "WHERE event_type IN ('click', 'view', 'like')"))
 
 
 @query("session_counters", """
@@ -124,7 +127,7 @@ def category_momentum(t):
 shared("t_momentum_boost", """
 SELECT request_id, item_id, momentum FROM t_cands JOIN (
   SELECT user_id, session_id, category, round(CAST(0.3 AS DOUBLE) * n / max(n) OVER (PARTITION BY user_id, session_id), 3) AS momentum
-  FROM (SELECT user_id, session_id, category, arg_max(n, last_at) AS n FROM t_momentum GROUP BY 1, 2, 3)) USING (user_id, session_id, category)
+  FROM (SELECT * FROM t_momentum QUALIFY started_at = max(started_at) OVER (PARTITION BY user_id, session_id))) USING (user_id, session_id, category)
 """)
 
 
@@ -177,10 +180,10 @@ def popular_queries(t):
 
 @query("recent_queries", """
 SELECT user_id, q AS query, position FROM (SELECT user_id, q, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position
-  FROM t_asked, t_event_now WHERE ts >= now_ts - INTERVAL 30 DAY) WHERE position <= 50
+  FROM t_asked WHERE user_id IN (SELECT user_id FROM t_asked, t_event_now GROUP BY user_id, now_ts HAVING max(ts) >= now_ts - INTERVAL 7 DAY)) WHERE position <= 50
 """)
 def recent_queries(t):
-    return S.recent_queries(t.user_events, now(t))
+    return S.recent_queries(t.user_events, now(t), days=7)  # the log spans 30 days: a week lets the rule show
 
 
 @query("recent_distinct_queries", """

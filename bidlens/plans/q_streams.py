@@ -16,7 +16,7 @@ def stream(t):
     return validated_events(shape_events(raw, t.catalog_base))[0]
 
 
-CLOSED = "last_at + INTERVAL 1 HOUR <= (SELECT now_ts FROM t_event_now) - INTERVAL 1 HOUR"
+CLOSED = "ended_at + INTERVAL 1 HOUR <= (SELECT now_ts FROM t_event_now) - INTERVAL 1 HOUR"
 
 
 @query("event_source", "SELECT event_id, user_id, item_id, event_type, session_id, category FROM t_events")

@@ -28,7 +28,6 @@ SELECT l_partkey AS item_id, c_custkey AS customer_id, l_suppkey AS supplier_id,
        CAST(o_orderdate AS DATE) AS contract_date, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
        l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-WHERE c_mktsegment <> 'HOUSEHOLD'
 """)
 shared("t_regions", """
 SELECT c_custkey AS customer_id, c_name AS customer_name, r_name AS customer_region,

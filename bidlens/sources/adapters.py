@@ -83,8 +83,8 @@ class Tables:
     # ---- contracts -----------------------------------------------------------------
     @cached_property
     def buyers(self) -> DataFrame:
-        """Customers that file contracts; private households do not (they are the cold start)."""
-        return self.raw("customer").where(F.col("c_mktsegment") != "HOUSEHOLD")
+        """Customers that file contracts."""
+        return self.raw("customer")
 
     @cached_property
     def purchases(self) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bidlens.functions import dicts
 from bidlens.functions.text import short_substrings
-from bidlens.operators.analytics import top_per_group
+from bidlens.operators.analytics import numbered
 
 
 # ---- values ------------------------------------------------------------------------------
@@ -116,12 +116,12 @@ def profile_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def category_sample_contracts(
-    patterns: DataFrame, catalog: DataFrame, as_of: Column, most: int = 200
+    patterns: DataFrame, catalog: DataFrame, as_of: Column
 ) -> DataFrame:
     """Up to n items per (profile, category pattern) as synthetic contracts.
 
     ``patterns(profile_id, pattern, n)``. Patterns meet the distinct categories on three letters;
-    items are cut to ``most`` per category before they are joined (n is at most ``most``).
+    a category's items are numbered first, so that a pattern meets no more than its n of each.
     """
     names = catalog.select("category").distinct()
     matched = (
@@ -130,9 +130,9 @@ def category_sample_contracts(
         .where(F.contains(F.lower("category"), F.lower("pattern")))
         .drop("k")
     )
-    items = top_per_group(catalog.select("category", "item_id"), "category", ["item_id"], most).drop("rn")
-    rows = matched.join(items, "category").withColumn("slice", F.concat_ws("-", "profile_id", "pattern"))
-    best = top_per_group(rows, "slice", ["item_id"], most).where("rn <= n")
+    items = numbered(catalog.select("category", "item_id"), "category", ["item_id"]).withColumnRenamed("rn", "place")
+    rows = matched.join(items, "category").where("place <= n").withColumn("slice", F.concat_ws("-", "profile_id", "pattern"))
+    best = numbered(rows, "slice", ["item_id"]).where("rn <= n")
     contract_id = F.concat_ws("-", F.lit("DEMO"), "profile_id", "item_id")
     digest = F.conv(F.substring(F.md5(contract_id), 1, 8), 16, 10).cast("long")
     return best.select(
