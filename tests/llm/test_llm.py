@@ -1,0 +1,205 @@
+"""Small cases for every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from bidlens.llm import bpe, chat, factor, mixing, qualityrules, registry, secretscan, setjoin, suffix, topk, urlrules
+from bidlens.llm.tables import ship
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _d string, hits string, stack int"
+WORD = re.compile("[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def session(spark):
+    ship(spark)
+    return spark
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, None, "x", "y", 1) for i, t, s in rows], SCHEMA)
+
+
+def odd_rows():
+    long = " ".join(f"w{k % 701} q{k}" for k in range(30_000))
+    key = "api_key = 'abcDEF0123456789'"
+    base = [(1, None, "a"), (2, "", "a"), (3, " \n\t", None), (4, long, "b"), (5, long, "b"), (5, long, "b"), (None, "no id here", None),
+            (None, None, None), (6, "é ü " * 9 + key, "c"), (7, key, "d"), (8, key, "e"), (9, "AKIA" + "Z9" * 10, "a"), (10, "f" * 30, None)]
+    rng = random.Random(4)
+    words = [f"word{k}" for k in range(50)]
+    return base + [(100 + k, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))), rng.choice("abc")) for k in range(60)]
+
+
+def both(op, spark):
+    return sorted(map(tuple, op(table(spark, odd_rows())).collect()), key=str), op(table(spark, [])).collect()
+
+
+def test_topk(session):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in rng.normal(size=6)], "z") for i in range(200)]
+    rows += [(300, None, "z"), (301, [1.0, None], "z"), (302, [float("nan")] * 6, "z"), (350, [0.5, 0.5], "z"), (50, rows[50][1], "z"), (None, [1.0] * 6, "z")]
+    rows += [(400 + k, rows[0][1], "z") for k in range(8)]  # ties
+    df = session.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    got = sorted(map(tuple, topk.search(df, block=64, queries=2).collect()))
+    vectors = {(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
+    want = []
+    for i, q in vectors:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in vectors if j != i)[:5]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert topk.search(df.limit(0)).collect() == []
+    huge = session.createDataFrame([(0, [1e6, 3.0]), (1, [1e6, 1.0]), (2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in topk.search(huge, k=2).orderBy("rank").collect()] == [1, 2]
+
+
+def test_secrets(session):
+    scan = lambda d: secretscan.scan_secrets(d, registry.repo(), registry.owner()).select("doc_id", "base_sha256", secretscan.hit_list().alias("s"), "hits")
+    got, none = both(scan, session)
+    assert none == [] and len(got) == len(odd_rows())
+    spans = {r[0]: r[2] for r in got if r[0]}
+    assert spans[7] == "assign:0:27" and spans[6] == "assign:36:63" and spans[9] == "access:0:24" and spans[10] == "hex:0:30"
+    verdicts = {r[0]: [h.verdict for h in r[3]] for r in got if r[0] in (7, 9)}
+    assert verdicts == {7: ["example"], 9: ["live"]}  # three owners hold the first, one the second
+    assert [r[1] for r in got if r[0] == 2] == [hashlib.sha256(b"").hexdigest()]
+    masked = {r.doc_id: r.text for r in secretscan.mask_secrets(table(session, odd_rows()), registry.repo(), registry.owner()).collect()}
+    assert masked[9] == "<access>" and masked[7] == "api_key = 'abcDEF0123456789'" and masked[1] is None
+
+
+def test_bpe(session):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(registry.TOKENIZER)
+    rows = odd_rows() + [(900, "It's <|endoftext|> ΟΔΟΣ İ ½ \x1c á 你好", "a")]
+    got = sorted(map(tuple, bpe.encode_texts(table(session, rows), registry.TOKENIZER).collect()), key=str)
+    want = []
+    for i, t, _ in rows:
+        e = library.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256(library.decode(e, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.encode_texts(table(session, []), registry.TOKENIZER).collect() == []
+
+
+def test_urls(session):
+    rules = session.createDataFrame(urlrules.RULES + [("block", "a.com/x/"), ("allow", "a.com/x/y/")], "verdict string, rule string")
+    urls = [None, "", "x", "http://A.com/x/1", "http://b.a.com/x/y/z?q", "http://a.com/x/y", "https://org/", "ftp://example.org/en/12", "http://org?a/", "http://a.com/x/1"]
+    df = session.createDataFrame([(k, u, "h") for k, u in enumerate(urls)] + [(3, urls[3], "h")], "page_id int, url string, host string")
+    got = [(r.page_id, r.rule, r.verdict) for r in urlrules.match_urls(df, rules).orderBy("page_id").collect()]
+    assert got == [(0, None, "allow"), (1, None, "allow"), (2, None, "allow"), (3, "a.com/x/", "block"), (3, "a.com/x/", "block"), (4, "a.com/x/y/", "allow"),
+                   (5, "a.com/x/", "block"), (6, "org/", "allow"), (7, "example.org/en/1", "block"), (8, None, "allow"), (9, "a.com/x/", "block")]
+    assert urlrules.match_urls(df.limit(0), rules).collect() == []
+    assert {r.verdict for r in urlrules.match_urls(df, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_chat(session):
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "alone"), (None, 0, "ann", "x <|im_end|>"), (1, 1, "ann", "hi")]
+    df = session.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn int, role string, text string, pos int")
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate_perspectives(df).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, "unknown"), (None, "ann")}
+    ann = got[1, "ann"]
+    assert ann.n_turns == 5 and ann.n_trained == 2
+    assert [ann.text[int(s): int(e)] for s, e in (m.split(":") for m in ann.mask.split(","))] == ["hi<|im_end|>"] * 2
+    assert "< |im_end|>" in got[None, "ann"].text
+    parts = chat.rotate_perspectives(df, most=2).where("conv_id = 1 and perspective = 'ann'").orderBy("part").collect()
+    assert [p.n_turns for p in parts] == [2, 2, 1] and "".join(p.text for p in parts) == ann.text
+    assert chat.rotate_perspectives(df.limit(0)).collect() == []
+
+
+def brute_components(rows, num, den, size):
+    sets = []
+    for _, t, _ in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset([tuple(w)]) if 0 < len(w) < size else frozenset(tuple(w[k: k + size]) for k in range(len(w) - size + 1)))
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if i and den * i >= num * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                old, new = comp[a], comp[b]
+                comp = [new if c == old else c for c in comp]
+    out = []
+    for k, (i, _, _) in enumerate(rows):
+        ids = [rows[m][0] for m in range(len(rows)) if comp[m] == comp[k] and rows[m][0] is not None]
+        out.append((i, len(sets[k]), min(ids, default=None) if sets[k] else i))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("num,size", [(90, 3), (80, 5)])
+def test_set_join(session, num, size):
+    rng = random.Random(num)
+    words = [f"v{k}" for k in range(30)]
+    rows = odd_rows()
+    for n in (1, 2, 5, 9, 12, 19, 25, 40, 90):
+        base = [rng.choice(words) for _ in range(n)]
+        for _ in range(5):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, n // 14))):
+                w[rng.randrange(n)] = rng.choice(words).upper()
+            rows.append((1000 + len(rows), " ".join(w), "a"))
+    got = sorted(map(tuple, setjoin.jaccard_components(table(session, rows), num, 100, size).collect()), key=str)
+    assert got == brute_components(rows, num, 100, size)
+    assert setjoin.jaccard_components(table(session, []), num, 100, size).collect() == []
+
+
+@pytest.mark.parametrize("most", [8192, 4])
+def test_suffix(session, most, monkeypatch):
+    monkeypatch.setattr(suffix, "MOST_ROWS", most)
+    rng = random.Random(most)
+    passage = "".join(rng.choice("abcdef ghé") for _ in range(150))
+    rows = [r for r in odd_rows() if r[0] is not None] + [(2000 + k, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 120))) + passage[k % 9:], "a") for k in range(30)]
+    rows += [(3000, "a" * 400, "a"), (3001, "ab" * 120, "b"), (3002, "a" * 99, "b")]
+    got = sorted(map(tuple, suffix.remove_repeats(table(session, rows)).collect()))
+    seen, want = set(), []
+    for n, (i, t, _) in enumerate(sorted(rows, key=lambda r: r[0])):
+        b = (t or "").encode()
+        if want and want[-1][0] == i:
+            want.append(want[-1])  # the same document once more
+            continue
+        gone = bytearray(len(b))
+        for s in range(len(b) - 99):
+            if b[s: s + 100] in seen:
+                gone[s: s + 100] = b"\1" * 100
+            seen.add(b[s: s + 100])
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), sum(g and not p for g, p in zip(gone, b"\0" + gone)), hashlib.sha256(left).hexdigest()))
+    assert got == sorted(want)
+    assert suffix.remove_repeats(table(session, [])).collect() == []
+
+
+def test_mix(session):
+    got, none = both(mixing.mix_sources, session)
+    assert none == [] and len(got) == len(odd_rows())
+    assert got == both(mixing.mix_sources, session)[0]
+    assert all(r[4] % max(r[1], 1) == 0 and r[4] <= 3 * r[1] for r in got)
+    size = Counter()
+    for _, t, s in odd_rows():
+        size[s] += len(WORD.findall(t or ""))
+    targets = {r[2]: r[3] for r in got}
+    assert abs(sum(targets[size[s]] for s in size) - sum(size.values())) < 1e-6
+    assert all(targets[n] <= 3 * n + 1e-9 for n in size.values())
+
+
+def test_quality(session):
+    rng = random.Random(2)
+    words = [f"w{chr(97 + k)}o" for k in range(26)]
+    clean = [(k, " ".join(rng.choice(words) for _ in range(60)), "a") for k in range(300)]
+    junk = [(k, " ".join(rng.choice(words) + "***" for _ in range(60)), "a") for k in range(300, 360)]
+    rows = clean + junk + odd_rows()[:4]
+    labels = session.createDataFrame([(k, int(k < 300), 0) for k in range(20, 360)] + [(None, 1, 0), (21, None, 0)], "doc_id long, quality int, toxic int")
+    docs = table(session, rows)
+    kept = {r.doc_id: r.kept for r in qualityrules.quality_rules(docs, labels).collect()}
+    assert sum(kept[k] for k in range(20, 300)) >= 278 and not any(kept[k] for k in range(300, 360))
+    scored = factor.score_quality(docs, labels).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scored)
+    held = [r for r in scored if r.held_out and r.doc_id and 20 <= r.doc_id < 360]
+    assert sum(r.predicted == int(r.doc_id < 300) for r in held) >= 0.95 * len(held)
+    empty = labels.limit(0)
+    assert {r.score for r in factor.score_quality(docs, empty).collect()} == {0.5}
+    assert qualityrules.quality_rules(docs, empty).where(F.col("kept") == F.col("base_failed")).count() == 0
+    assert factor.score_quality(docs.limit(0), labels).collect() == [] and qualityrules.quality_rules(docs.limit(0), labels).collect() == []
