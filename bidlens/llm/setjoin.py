@@ -21,6 +21,7 @@ SPARE = 12  # parts beyond the pigeonhole's need: linked sets share more parts t
 RATIO = 1.6  # largest over smallest size of a band
 LIST_COST = 3  # cost of a list entry (it must be verified with whole sets) against a subset entry
 SKETCH = 5, 16  # a sketch has about one counter per two elements, 2**5 to 2**16
+FOLD = 128  # counters of the short sketch that the first looks use
 COARSE = (8, 1)  # rounds of linking: with every 8th list, with all
 
 
@@ -140,6 +141,11 @@ def sketch_of(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount((tokens & np.uint64(counters - 1)).astype(np.int64), minlength=counters), 255).astype(np.uint8).tobytes()
 
 
+def short(sketch: bytes) -> bytes:
+    counts = np.frombuffer(sketch, np.uint8)
+    return sketch if len(counts) <= FOLD else clipped(counts.reshape(-1, FOLD).sum(axis=0)).astype(np.uint8).tobytes()
+
+
 def folded(sketches: list[bytes]) -> np.ndarray:
     """Sketches as rows of one matrix: longer ones are folded to the shortest one's counters."""
     least = min(map(len, sketches))
@@ -182,9 +188,9 @@ def summarise(plan: Plan):
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary()),
+                    part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary()), pa.array([short(x) for x in sketches], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(least, pa.int32()),
-                ], names=["doc_id", "n", "cls", "sketch", "keys", "least"])
+                ], names=["doc_id", "n", "cls", "sketch", "short", "keys", "least"])
 
     return batches
 
@@ -236,13 +242,19 @@ def verify(plan: Plan):
     return batches
 
 
-def near_pairs(plan: Plan, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow to be links."""
-    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
-        sketch_filter(plan), "a long, b long"
-    )
+def near_pairs(plan: Plan, pairs: DataFrame, classes: DataFrame, looks: tuple = ("short", "sketch")) -> DataFrame:
+    """The pairs (a, b) that sizes, short sketches and at last whole sketches allow to be links."""
+    sizes = classes.select("cls", "n")
+    pairs = pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b"
+    ).where(F.least("na", "nb") * plan.den >= F.greatest("na", "nb") * plan.num).select("a", "b")
+    for look in looks:
+        left = classes.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col(look).alias("sa"))
+        right = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col(look).alias("sb"))
+        pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
+            sketch_filter(plan), "a long, b long"
+        )
+    return pairs
 
 
 def linked_pairs(plan: Plan, near: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -306,11 +318,11 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
     mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("many")).where(
         F.col("least") != F.col("most")
     ).select("key", F.ceil(F.col("many") / 512).cast("int").alias("blocks"))
-    rows = now.join(mixed, "key").join(classes.select("cls", "n", "sketch"), "cls").withColumn(
+    rows = now.join(mixed, "key").join(classes.select("cls", "n", "short"), "cls").withColumn(
         "mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meet = rows.select(
-        "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "sketch"
+        "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "short"
     )
 
     def compared(p, q, mine, ids, comp, n, sketch):
@@ -336,7 +348,7 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
                 rest, head, ends = table.slice(int(head[-1])), head[:-1], ends[:-1]
             if not len(head):
                 continue
-            sketches = table.column("sketch").to_pylist()
+            sketches = table.column("short").to_pylist()
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, j in zip(head, ends):
                 for x, y in compared(p[i], q[i], mine[i:j], ids[i:j], comp[i:j], n[i:j], clipped(folded(sketches[i:j]))):
@@ -364,10 +376,10 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int
     plan = Plan(num, den, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", "text")
-    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, n long, cls long, sketch binary, keys array<long>, least int"), "sets")
+    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, n long, cls long, sketch binary, short binary, keys array<long>, least int"), "sets")
     filled = facts.where("n > 0")
     firsts = stage(filled.groupBy("cls", "n").agg(
-        F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("least").alias("least")), "classes")
+        F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("short").alias("short"), F.min("least").alias("least")), "classes")
     reps = firsts.select(F.col("cls").alias("_c"), F.col("first").alias("_f"))
     entries = filled.select("doc_id", "cls", "keys").join(reps, same(("cls", "_c"), ("doc_id", "_f"))).select(
         "cls", F.explode("keys").alias("key")
@@ -379,7 +391,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int
     for every in COARSE:
         near = stage(near_pairs(plan, center_pairs(lists, comps, every), classes), "pairs")
         comps = components(comps, stage(linked_pairs(plan, near, classes, slim), "links"))
-    rest = stage(rest_pairs(lists, comps, classes, plan), "pairs")
+    rest = stage(near_pairs(plan, rest_pairs(lists, comps, classes, plan), classes, ("sketch",)), "pairs")
     comps = components(comps, stage(linked_pairs(plan, rest, classes, slim), "links"))
     named = comps.join(classes, "cls").groupBy("comp").agg(F.min("first").alias("smallest"))
     labels = comps.join(named, "comp").select(F.col("cls").alias("_c"), "smallest")
