@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bidlens.llm.tables import WORD, stage, whole_text
+from bidlens.llm.tables import WORD, stage, unclashed, whole_text
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -127,6 +127,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     times = mix_sources(docs, **options).groupBy("doc_id").agg(
         F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)).alias("_times")
     ).withColumnRenamed("doc_id", "_id")
-    return docs.join(times, same(("doc_id", "_id"))).where(F.col("_times") > 0).withColumn(
+    plain, _ = unclashed(docs, {"doc_id", "text", "lang", "source", "n_chars"})
+    return plain.join(times, same(("doc_id", "_id"))).where(F.col("_times") > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
-    ).select(*[F.col(f"`{c}`") for c in docs.columns])
+    ).select(*plain.columns).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.mixing import same
-from bidlens.llm.tables import sha256, stage
+from bidlens.llm.tables import sha256, stage, unclashed
 from bidlens.llm.wordhash import text_bytes
 
 ASSIGN = re.compile(
@@ -167,6 +167,8 @@ def mask_secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
 
     Overlapping hits are masked as one, under the first one's kind.
     """
+    given = docs.columns
+    docs, _ = unclashed(docs, {"doc_id", "text", "lang", "source", "n_chars"})
     marks = scan_secrets(docs, repo, owner).select(
         F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.filter("hits", lambda h: h["verdict"] != "example").alias("_hits")
     ).where(F.size("_hits") > 0).distinct()
@@ -186,4 +188,4 @@ def mask_secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     return masked.select(*[
         F.col("_text").alias("text") if c == "text" else
         (F.when(F.col("_hits").isNull(), F.col(c)).otherwise(chars).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns
-    ])
+    ]).toDF(*given)

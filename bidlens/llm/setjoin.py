@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidlens.llm.mixing import same
-from bidlens.llm.tables import stage
+from bidlens.llm.tables import stage, unclashed
 from bidlens.llm.wordhash import mix, shingles, words
 
 SPARE = 12  # parts beyond the pigeonhole's need: linked sets share more parts than that
@@ -455,4 +455,5 @@ def one_of_each(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5) -
     found = jaccard_components(docs, num, den, size).where(F.col("component_id") != F.col("doc_id")).select(
         F.col("doc_id").alias("_d")
     ).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_d"), "left_anti")
+    plain, _ = unclashed(docs, {"doc_id", "text", "lang", "source", "n_chars"})
+    return plain.join(found, F.col("doc_id") == F.col("_d"), "left_anti").toDF(*docs.columns)

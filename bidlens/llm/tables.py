@@ -38,6 +38,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unclashed(df: DataFrame, known: set[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with all columns but the ``known`` ones renamed, so that helper columns cannot clash, and the new names."""
+    names = [c if c in known else f"given_column_{k}" for k, c in enumerate(df.columns)]
+    return df.toDF(*names), names
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: computed once, safe against lost executors."""
     return cut_lineage(df, label)
