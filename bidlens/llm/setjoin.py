@@ -10,7 +10,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.llm.mixing import same
@@ -22,6 +22,7 @@ RATIO = 1.6  # largest over smallest size of a band
 LIST_COST = 3  # cost of a list entry (it must be verified with whole sets) against a subset entry
 SKETCH = 5, 16  # a sketch has about one counter per two elements, 2**5 to 2**16
 FOLD = 128  # counters of the short sketch that the first looks use
+SEEN = 32  # of a class's smallest keys that tell whether a pair has met before
 COARSE = (8, 1)  # rounds of linking: with every 8th list, with all
 
 
@@ -308,24 +309,44 @@ def center_pairs(lists: DataFrame, comps: DataFrame, every: int) -> DataFrame:
     ).distinct()
 
 
+def rarer_lists(now: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of ``now`` (cls, key, comp, many) without each class's ``least`` - 1 most crowded lists.
+
+    Two linked classes share ``least`` lists at least. In one order of all lists, the least crowded one that they share
+    comes after so many others that neither of them leaves it out.
+    """
+    crowded = Window.partitionBy("cls").orderBy(F.desc("many"), "key")
+    return now.join(classes.select("cls", "least"), "cls").withColumn("place", F.row_number().over(crowded)).where(
+        F.col("place") >= F.col("least")
+    ).select("cls", "key", "comp")
+
+
 def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """All pairs of a list's members in different components whose sizes and sketches allow a link.
 
-    Members of one list meet in blocks: each member is sent to the blocks of its list that it must meet, so that a long
-    list spreads over tasks. Within a block the sketches are compared in numpy and only possible links come out.
+    Only lists that ``rarer_lists`` leaves are read. Members of one list meet in blocks: each member is sent to the
+    blocks of its list that it must meet, so that a long list spreads over tasks. Within a block the sketches are
+    compared in numpy and only possible links come out, and of those only pairs that do not meet in a list with a
+    smaller key as well, as far as the SEEN smallest keys of both show; a pair's smallest shared key always yields it.
     """
+    def mixed(rows):
+        return rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where(
+            F.col("low") != F.col("high")).select("key", "many")
+
     now = lists.join(comps, "cls")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("many")).where(
-        F.col("least") != F.col("most")
-    ).select("key", F.ceil(F.col("many") / 512).cast("int").alias("blocks"))
-    rows = now.join(mixed, "key").join(classes.select("cls", "n", "short"), "cls").withColumn(
-        "mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    kept = stage(rarer_lists(now.join(mixed(now), "key"), classes), "rarer")
+    kept = stage(kept.join(mixed(kept), "key"), "mixed")
+    seen = kept.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SEEN).alias("seen"))
+    rows = kept.join(classes.select("cls", "n", "short").join(seen, "cls"), "cls").withColumn(
+        "blocks", F.ceil(F.col("many") / 512).cast("int")
+    ).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
     meet = rows.select(
-        "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "short"
+        "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "short", "seen"
     )
 
-    def compared(p, q, mine, ids, comp, n, sketch):
+    def compared(p, q, mine, ids, comp, n, sketch, before):
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
         for i in left:
             other = right[(comp[right] != comp[i]) & (ids[right] > ids[i] if p == q else True)]
@@ -333,6 +354,7 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
             other = other[plan.den * least >= plan.num * most]
             apart = np.abs(sketch[other] - sketch[i]).sum(axis=1)
             fits = other[apart * (plan.num + plan.den) <= (plan.den - plan.num) * (n[other] + n[i])]
+            fits = fits[[before[i].isdisjoint(before[k]) for k in fits]] if len(fits) else fits
             yield np.minimum(ids[fits], ids[i]), np.maximum(ids[fits], ids[i])
 
     def streamed(source):
@@ -348,10 +370,11 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
                 rest, head, ends = table.slice(int(head[-1])), head[:-1], ends[:-1]
             if not len(head):
                 continue
-            sketches = table.column("short").to_pylist()
+            sketches, seen = table.column("short").to_pylist(), table.column("seen").to_pylist()
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i, j in zip(head, ends):
-                for x, y in compared(p[i], q[i], mine[i:j], ids[i:j], comp[i:j], n[i:j], clipped(folded(sketches[i:j]))):
+                before = [{k for k in keys if k < key[i]} for keys in seen[i:j]]
+                for x, y in compared(p[i], q[i], mine[i:j], ids[i:j], comp[i:j], n[i:j], clipped(folded(sketches[i:j])), before):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
