@@ -66,7 +66,8 @@ def first_click_dedup(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def bounce_detection(events: DataFrame, seconds: float = 4.0) -> DataFrame:
     """Opened items left for the next event of the session within ``seconds``.
 
-    The state of a session is its last event only.
+    The state of a session is its last event only. An event that arrives in a later batch than a newer one of its
+    session is left out: it neither ends an open item nor becomes the last event.
     """
 
     def step(key, batches, state: GroupState):
@@ -77,6 +78,8 @@ def bounce_detection(events: DataFrame, seconds: float = 4.0) -> DataFrame:
         if frames:
             rows = pd.concat(frames).sort_values(["us", "event_id"])
             for item, event, kind, us in zip(rows["item_id"], rows["event_id"], rows["event_type"], rows["us"]):
+                if last is not None and us < last[3]:
+                    continue
                 if last is not None and last[2] == "click" and (us - last[3]) / 1e6 < seconds:
                     out.append((user, session, last[0], last[1], (us - last[3]) / 1e6))
                 last = (int(item), int(event), kind, int(us))

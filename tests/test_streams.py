@@ -65,3 +65,10 @@ def test_bounce_across_batches(spark, tmp_path):
     base = folder(spark, tmp_path, [event(1, "08:00:00")], [event(2, "08:00:03", item=6), event(3, "08:00:08", item=7)])
     got = E.read_slices(spark, E.run_available(E.bounce_detection(source(spark, base)), "append", "b"))
     assert [(r.item_id, r.open_seconds) for r in got.collect()] == [(5, 3.0)]
+
+
+def test_bounce_leaves_out_events_that_arrive_late(spark, tmp_path):
+    late = [event(2, "10:00:00", item=6, kind="view"), event(3, "10:00:32", item=7, kind="view")]
+    base = folder(spark, tmp_path, [event(1, "10:00:30")], late[:1], late[1:])
+    got = E.read_slices(spark, E.run_available(E.bounce_detection(source(spark, base)), "append", "b"))
+    assert [tuple(r) for r in got.select("item_id", "event_id", "open_seconds").collect()] == [(5, 1, 2.0)]
