@@ -189,9 +189,9 @@ def summarise(plan: Plan):
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary()), pa.array([short(x) for x in sketches], pa.binary()),
+                    part.column("doc_id"), part.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary()), pa.array([short(x) for x in sketches], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(least, pa.int32()),
-                ], names=["doc_id", "n", "cls", "sketch", "short", "keys", "least"])
+                ], names=["doc_id", "th", "n", "cls", "sketch", "short", "keys", "least"])
 
     return batches
 
@@ -259,10 +259,13 @@ def near_pairs(plan: Plan, pairs: DataFrame, classes: DataFrame, looks: tuple =
 
 
 def linked_pairs(plan: Plan, near: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are linked; sets are made anew for the classes that occur in a pair only."""
+    """The pairs (a, b) whose whole sets are linked; sets are made anew for the classes that occur in a pair only.
+
+    A class's text is that of its representative row, found by doc_id and hash of the text: ids may be null or repeated.
+    """
     ids = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
-    wanted = stage(classes.select("cls", F.col("first").alias("_f")).join(ids, "cls"), "wanted")
-    found = texts.join(wanted, same(("doc_id", "_f"))).select("cls", "text")
+    wanted = stage(classes.select("cls", F.col("first").alias("_f"), F.col("text_of").alias("_t")).join(ids, "cls"), "wanted")
+    found = texts.join(wanted, same(("doc_id", "_f"), ("th", "_t"))).select("cls", "text")
     tokens = stage(found.mapInArrow(token_batches(plan), "cls long, tokens binary"), "tokens")
     full = near.join(tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(
         tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b"
@@ -398,13 +401,15 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int
     """
     plan = Plan(num, den, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", "text")
-    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, n long, cls long, sketch binary, short binary, keys array<long>, least int"), "sets")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, th long, n long, cls long, sketch binary, short binary, keys array<long>, least int"), "sets")
     filled = facts.where("n > 0")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     firsts = stage(filled.groupBy("cls", "n").agg(
-        F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"), F.min("short").alias("short"), F.min("least").alias("least")), "classes")
-    reps = firsts.select(F.col("cls").alias("_c"), F.col("first").alias("_f"))
-    entries = filled.select("doc_id", "cls", "keys").join(reps, same(("cls", "_c"), ("doc_id", "_f"))).select(
+        F.min(row).alias("row"), F.min("sketch").alias("sketch"), F.min("short").alias("short"), F.min("least").alias("least"),
+    ).select("cls", "n", F.col("row.doc_id").alias("first"), F.col("row.th").alias("text_of"), "sketch", "short", "least"), "classes")
+    reps = firsts.select(F.col("cls").alias("_c"), F.col("first").alias("_f"), F.col("text_of").alias("_t"))
+    entries = filled.select("doc_id", "th", "cls", "keys").join(reps, same(("cls", "_c"), ("doc_id", "_f"), ("th", "_t"))).select(
         "cls", F.explode("keys").alias("key")
     )
     lists = stage(dense_lists(stage(shared_lists(entries), "lists"), firsts), "lists")

@@ -147,6 +147,23 @@ def test_set_join(session, num, size):
     assert setjoin.jaccard_components(table(session, []), num, 100, size).collect() == []
 
 
+def test_set_join_ids(session):
+    """Near copies without ids, and ids that stand on several texts."""
+    rng = random.Random(7)
+    words = [f"v{k}" for k in range(400)]
+    rows = []
+    for k, n in enumerate((12, 40, 90, 90)):
+        base = [rng.choice(words) for _ in range(n)]
+        near = [" ".join([*base[:-1], f"end{j}"]) for j in range(3)]
+        rows += [(i, t, "a") for i, t in zip([(None, None, None), (None, None, 500 + k), (700, None, None), (700, 701, None)][k], near)]
+        rows += [(None, " ".join(rng.choice(words) for _ in range(n)), "a") for _ in range(2)]
+    rows += [(700, " ".join(rng.choice(words) for _ in range(90)), "b"), *rows[:2]]
+    rows.insert(0, (None, " ".join(rng.choice(words) for _ in range(60)), "a"))
+    one_task = table(session, rows).coalesce(1)
+    got = sorted(map(tuple, setjoin.jaccard_components(one_task, 80, 100, 3).collect()), key=str)
+    assert got == brute_components(rows, 80, 100, 3)
+
+
 @pytest.mark.parametrize("most", [8192, 4])
 def test_suffix(session, most, monkeypatch):
     monkeypatch.setattr(suffix, "MOST_ROWS", most)
