@@ -59,7 +59,7 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool, levels: int =
     buckets' rows. Nothing is sorted but a histogram of at most 2**BITS buckets a source. The last boundary bucket (a
     2**-36 part of the source at three levels, mostly one row) stays out, or with ``nearest`` comes in if the sum then
     is nearer to the budget. Thresholds are nested: a smaller budget's rows are always among a larger one's. A source
-    whose rows do not reach the budget gets all of them.
+    whose rows do not reach the budget gets all of them: it is known at the first level and carried through the others.
     """
     top = 1 << (BITS * levels)
     state = budgets.select(F.col("source").alias("_s"), F.col("budget").alias("rest"), F.lit(0).cast("long").alias("prefix"))
@@ -74,30 +74,42 @@ def thresholds(rows: DataFrame, budgets: DataFrame, nearest: bool, levels: int =
         over = F.when(F.col("upto") >= F.col("rest"), F.struct("bucket", "upto", "sum"))
         first = summed.groupBy("_s", "rest", "prefix").agg(F.min(over).alias("b"), F.sum("sum").alias("all"))
         short = F.col("b").isNull()
-        state = stage(first.select(
+        found = first.select(
             "_s",
             F.when(short, F.col("rest") - F.col("all")).otherwise(F.col("rest") - F.col("b.upto") + F.col("b.sum")).alias("rest"),
             F.when(short, F.lit(top)).otherwise(F.shiftleft("prefix", BITS) + F.col("b.bucket")).alias("prefix"),
             F.coalesce("b.sum", F.lit(0)).alias("bucket_sum"),
-        ), "threshold")
+        )
+        state = stage(found if level == 0 else found.unionByName(state.where(F.col("prefix") == top)), "threshold")
     into = F.lit(0) if not nearest else (F.col("rest") * 2 >= F.col("bucket_sum")).cast("long")
     return state.select(F.col("_s").alias("_c"), (F.least(F.col("prefix"), F.lit(top)) + into).alias("below"), "rest")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, share: float = 1.0, levels: int = LEVELS) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
+def text_hash() -> Column:
+    """Places a document in its source's order; rows without id, or of one id, are told apart by their texts."""
+    return F.xxhash64(F.lit("mix"), "doc_id", whole_text())
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row, see ``mixed``."""
+    return mixed(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, share: float = 1.0, levels: int = LEVELS) -> DataFrame:
+    """doc_id, source, hash, size, source_size, target and taken (words the mix takes, repeats counted) of every row.
 
     size is the number of words (null or empty text: 0). A document is taken ``floor(target / source_size)`` times, and
     once more if its hash lies below its source's threshold. What is left up to the target (less than the document at
     the threshold) goes by a second threshold to documents above it that are no longer than that. No document exceeds
-    ``repeats`` times its size. The hash depends on doc_id alone: reruns agree, and
-    repeated rows share one fate. Null sources are one source, null ids hash like any value. Sources without words have
+    ``repeats`` times its size. The hash depends on doc_id and text: reruns agree,
+    repeated rows of a source share one fate, and rows without id do so only if their texts are equal. Null sources are
+    one source. Sources without words have
     target 0. Empty tables give no rows; further columns are ignored. A hot source is never gathered: only histograms
     of partial sums move.
     """
     sized = stage(docs.select(
         "doc_id", "source", F.regexp_count(whole_text(), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.lit("mix"), "doc_id").alias("hash"),
+        text_hash().alias("hash"),
     ), "sizes")
     totals = stage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats, share), "targets")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -117,17 +129,18 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, repeats: int = REPEATS, share:
     ).select("_c", F.col("below").alias("fill"))
     extra = (F.col("position") < F.col("below")) | (beyond & (F.col("position") < F.coalesce("fill", F.lit(0))))
     return placed.join(fill, same(("source", "_c")), "left").select(
-        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target",
+        "doc_id", "source", "hash", "size", F.col("source_size").cast("long").alias("source_size"), "target",
         (F.col("size") * (F.col("passes") + extra.cast("long"))).cast("long").alias("taken"),
     )
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it (0 to ``repeats`` times); empty texts count as not taken."""
-    times = mix_sources(docs, **options).groupBy("doc_id").agg(
+    times = mixed(docs, **options).groupBy("doc_id", "source", "hash").agg(
         F.max(F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)).alias("_times")
-    ).withColumnRenamed("doc_id", "_id")
+    ).toDF("_id", "_source", "_hash", "_times")
     plain, _ = unclashed(docs, {"doc_id", "text", "lang", "source", "n_chars"})
-    return plain.join(times, same(("doc_id", "_id"))).where(F.col("_times") > 0).withColumn(
+    on = same(("doc_id", "_id"), ("source", "_source"), ("_place", "_hash"))
+    return plain.withColumn("_place", text_hash()).join(times, on).where(F.col("_times") > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))
     ).select(*plain.columns).toDF(*docs.columns)

@@ -202,6 +202,37 @@ def test_mix(session):
     assert all(targets[n] <= 3 * n + 1e-9 for n in size.values())
 
 
+def test_mix_fills_behind_a_long_boundary_document(session):
+    """A source whose threshold falls on a very long document still takes all the short ones beyond it."""
+    rng = random.Random(9)
+    long = " ".join(["long"] * 5000)
+    for k in range(40):  # ids until the long document stands at the threshold, with a few short ones behind it
+        rows = [(1000 * k + j, " ".join(["w"] * rng.randint(20, 40)), "a") for j in range(6)] + [(1000 * k + 9, long, "a")]
+        rows += [(1000 * k + 100, " ".join(["w"] * 3000), "b")]
+        order = [r[0] for r in sorted(table(session, rows).where("source = 'a'").select("doc_id", mixing.text_hash().alias("h")).collect(), key=lambda r: r.h % 2**64)]
+        if 2 <= order.index(1000 * k + 9) <= 4:
+            break
+    got = {r.doc_id - 1000 * k: r for r in mixing.mix_sources(table(session, rows), weights=(1, 1)).collect()}
+    short = [got[j] for j in range(6)]
+    passes = int(got[9].target // got[9].source_size)
+    assert got[9].taken == passes * got[9].size and all(r.taken == (passes + 1) * r.size for r in short)
+    taken, target = sum(got[j].taken for j in (*range(6), 9)), got[9].target
+    assert target - got[9].size <= taken <= target
+
+
+def test_mix_without_ids(session):
+    """Rows without id, or of one id in two sources, are taken each on its own."""
+    rng = random.Random(3)
+    rows = [(None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(5, 15))), "ab"[j % 2]) for j in range(120)]
+    rows += [(5, rows[j][1], "ab"[j % 2]) for j in range(10)]
+    size, taken = Counter(), Counter()
+    got = mixing.apply_mix(table(session, rows), weights=(5, 2), share=0.5).collect()
+    target = {r.source: r.target for r in mixing.mixed(table(session, rows), weights=(5, 2), share=0.5).collect()}
+    for r in got:
+        taken[r.source] += len(WORD.findall(r.text))
+    assert all(abs(taken[s] - target[s]) <= 15 for s in target), (taken, target)
+
+
 def test_quality(session):
     rng = random.Random(2)
     words = [f"w{chr(97 + k)}o" for k in range(26)]
