@@ -29,6 +29,7 @@ def op2_secret_scan(spark, folder):
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secretscan.hit_list().alias("spans"),
         held("live").alias("n_live"), held("shared").alias("n_shared"), held("example").alias("n_example"),
+        secretscan.hit_list(fields=("repos", "owners")).alias("holders"),
     )
 
 

@@ -29,6 +29,7 @@ TOKEN = np.zeros(256, dtype=bool)
 TOKEN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-")] = True
 TOKEN_LENGTH = 20
 EXAMPLE_OWNERS = 3  # a value that so many owners hold is a widely copied example
+MANY_REPOS = 3  # a value that so many repositories hold is passed around, even if one owner has them all
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|x{4,}|(.)\1{5,}", re.IGNORECASE)
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("hash", pa.string()), ("live", pa.bool_())])
 FOUND = pa.schema([
@@ -124,10 +125,11 @@ def scan_secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     """Every row's secrets with the corpus-wide verdict on each.
 
     A value's 128-bit hash is counted by distinct repositories and owners over the whole corpus. ``example``: at least
-    EXAMPLE_OWNERS owners hold it; ``live``: a single owner holds it and it looks random; else ``shared``. Base kinds
+    EXAMPLE_OWNERS owners hold it; ``live``: a single owner holds it, in fewer than MANY_REPOS repositories, and it looks
+    random; else ``shared``, as is what one owner copied into many repositories. Base kinds
     (assign, access, hex) are always reported. A token of 20 or more characters with letters, digits and high entropy
     outside them is reported as ``owned`` only if the verdict is live. Result: doc_id, th (hash of the text), n_assign,
-    n_access, n_hex, base_sha256, and hits, an array of (start, place, kind, end, verdict) ordered by start.
+    n_access, n_hex, base_sha256, and hits, an array of (start, place, kind, end, verdict, repos, owners) ordered by start.
 
     Null or empty text: no hits; null source or language: a repository of its own; null doc_id stays; repeated rows all
     stay and agree; empty tables give no rows; further columns are ignored. A value that a third of all rows hold is
@@ -145,12 +147,12 @@ def scan_secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
         F.count("*").alias("repos"), F.count_distinct("owner").alias("owners")
     )
     verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when(
-        (F.col("owners") == 1) & F.col("live"), "live").otherwise("shared")
+        (F.col("owners") == 1) & (F.col("repos") < MANY_REPOS) & F.col("live"), "live").otherwise("shared")
     places = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     judged = hits.drop("repo", "owner").distinct().join(held, "hash").withColumn("verdict", verdict).where(
         (F.col("kind") != "owned") | (F.col("verdict") == "live")
     ).groupBy("doc_id", "th").agg(
-        F.sort_array(F.collect_list(F.struct("start", places.alias("place"), "kind", "end", "verdict"))).alias("marks")
+        F.sort_array(F.collect_list(F.struct("start", places.alias("place"), "kind", "end", "verdict", "repos", "owners"))).alias("marks")
     ).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "marks")
     return found.join(judged, same(("doc_id", "_d"), ("th", "_t")), "left").select(
         "doc_id", "th", "n_assign", "n_access", "n_hex", "base_sha256",
@@ -158,8 +160,8 @@ def scan_secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:
     )
 
 
-def hit_list(hits: str = "hits") -> Column:
-    return F.array_join(F.transform(hits, lambda h: F.concat_ws(":", h["kind"], h["start"], h["end"])), ",")
+def hit_list(hits: str = "hits", fields: tuple = ("kind", "start", "end")) -> Column:
+    return F.array_join(F.transform(hits, lambda h: F.concat_ws(":", *[h[f] for f in fields])), ",")
 
 
 def mask_secrets(docs: DataFrame, repo: Column, owner: Column) -> DataFrame:

@@ -72,6 +72,21 @@ def test_secrets(session):
     assert masked[9] == "<access>" and masked[7] == "api_key = 'abcDEF0123456789'" and masked[1] is None
 
 
+def test_secrets_in_many_repositories_of_one_owner(session):
+    """What one owner has in many repositories is no live value; in two repositories it still is."""
+    value, many, key = "aB3dE5gH7jK9mN1pQ4rS6t", "Zx8Cv6Bn4Mq2Ws0Ed9Rf7T", "pT4mXw9ZrB6nQk"
+    rows = [(k, f"see {value} here", lang, "a") for k, lang in enumerate(("en", "en", "de"))]
+    rows += [(10 + k, f"see {many} here", lang, "a") for k, lang in enumerate(("en", "de", "fr", "fr"))]
+    rows += [(20 + k, f"token={key}", lang, "a") for k, lang in enumerate(("en", "de", "fr"))]
+    docs = session.createDataFrame([(i, t, g, s, None) for i, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: [(h.kind, h.verdict, h.repos, h.owners) for h in r.hits] for r in secretscan.scan_secrets(docs, registry.repo(), registry.owner()).collect()}
+    assert all(got[k] == [("owned", "live", 2, 1)] for k in range(3))
+    assert all(got[k] == [] for k in range(10, 14))
+    assert all(got[k] == [("assign", "shared", 3, 1)] for k in range(20, 23))
+    masked = {r.doc_id: r.text for r in secretscan.mask_secrets(docs, registry.repo(), registry.owner()).collect()}
+    assert masked[0] == "see <owned> here" and masked[10] == f"see {many} here" and masked[20] == "<assign>"
+
+
 def test_bpe(session):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(registry.TOKENIZER)
