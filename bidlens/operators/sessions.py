@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bidlens.operators.analytics import top_per_group
 
@@ -37,7 +36,7 @@ def learned_rewrites(patterns: DataFrame, k: int = 3) -> DataFrame:
 
 
 BOOSTED = ("click", "compare", "like", "view")
-SESSION_GAP = "1 hour"
+SESSION_GAP = 3600  # seconds
 SIGNAL_CAP = 3
 
 
@@ -46,36 +45,50 @@ def signal(event_type: Column) -> Column:
     return F.when(event_type.isin(*BOOSTED), "boosted").otherwise("penalized")
 
 
-def activity_sessions(events: DataFrame, keys: list[str], gap: str = SESSION_GAP) -> DataFrame:
-    """Activity windows that end after ``gap`` without events; sessions of one key merge."""
-    if not isinstance(events.schema["ts"].dataType, T.TimestampType):  # a cast would lose a watermark
-        events = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return events.groupBy(*keys, F.session_window("ts", gap).alias("w"))
+def signed(events: DataFrame) -> DataFrame:
+    return events.withColumn("sign", signal(F.col("event_type")))
 
 
-def session_signals(events: DataFrame, *fields: str) -> DataFrame:
-    """Sessions of (user, session) with the list of their events; any event prolongs the whole session."""
-    return activity_sessions(events, ["user_id", "session_id"]).agg(
-        F.collect_list(F.struct(*fields, "ts")).alias("signals")
-    ).select("user_id", "session_id", F.col("w.start").alias("started_at"), "signals")
+def moved(events: DataFrame) -> DataFrame:
+    """Events that move no category have none."""
+    return events.withColumn("category", F.when(F.col("event_type").isin("click", "view", "like"), F.col("category")))
 
 
-def per_kind(sessions: DataFrame, *fields: str) -> DataFrame:
-    """One row per session and kind of event, with ``own``, its times; works on streams, as nothing is grouped again."""
-    kinds = F.array_distinct(F.transform("signals", lambda x: F.struct(*[x[f].alias(f) for f in fields])))
-    rows = sessions.select("user_id", "session_id", "started_at", "signals", F.explode(kinds).alias("kind"))
-    kind = F.struct(*[F.col(f"kind.{f}").alias(f) for f in fields])
-    own = F.filter("signals", lambda x: F.struct(*[x[f].alias(f) for f in fields]).eqNullSafe(kind))
-    return rows.select("user_id", "session_id", "started_at", "kind.*", F.transform(own, lambda x: x["ts"]).alias("own"))
+def per_kind(events: DataFrame, *fields: str) -> DataFrame:
+    """Count and last time of each kind of event (``fields``) inside one activity window of (user, session).
+
+    A window ends after SESSION_GAP without events; any event prolongs it. Events within one slot of that length always
+    share a window, so they are counted by slot first, and windows are put together from the slots of a session: their
+    number depends on how long it lasts, not on how many events it has.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).where("ts is not null").withColumn(
+        "slot", F.floor(F.unix_seconds("ts") / SESSION_GAP))
+    counts = timed.groupBy("user_id", "session_id", "slot", *fields).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    slots = counts.groupBy("user_id", "session_id", "slot").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    order = W.partitionBy("user_id", "session_id").orderBy("slot")
+    before = F.unix_micros(F.lag("last_at").over(order))
+    opens = before.isNull() | (F.unix_micros("first_at") - before > SESSION_GAP * 1_000_000)
+    starts = slots.withColumn("opened", F.when(opens, F.col("first_at"))).select(
+        F.col("user_id").alias("_u"), F.col("session_id").alias("_s"), F.col("slot").alias("_slot"),
+        F.max("opened").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("started_at"))
+    on = F.col("user_id").eqNullSafe(F.col("_u")) & F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_slot"))
+    return counts.join(starts, on).groupBy("user_id", "session_id", "started_at", *fields).agg(
+        F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
+
+
+def counter_rows(kinds: DataFrame) -> DataFrame:
+    return kinds.select(
+        "user_id", "session_id", "item_id", "sign", "started_at", F.least("n", F.lit(SIGNAL_CAP).cast("long")).alias("cnt"), "last_at")
+
+
+def momentum_rows(kinds: DataFrame) -> DataFrame:
+    return kinds.where("category is not null").select("user_id", "session_id", "category", "started_at", "n", "last_at")
 
 
 def session_counters(events: DataFrame) -> DataFrame:
     """Signals per (user, session, item, sign), at most three, inside one activity window of the session."""
-    signed = events.withColumn("sign", signal(F.col("event_type")))
-    return per_kind(session_signals(signed, "item_id", "sign"), "item_id", "sign").select(
-        "user_id", "session_id", "item_id", "sign", "started_at",
-        F.least(F.size("own").cast("long"), F.lit(SIGNAL_CAP)).alias("cnt"), F.array_max("own").alias("last_at"),
-    )
+    return counter_rows(per_kind(signed(events), "item_id", "sign"))
 
 
 def newest(windows: DataFrame) -> DataFrame:
@@ -144,11 +157,7 @@ def cross_session_adjustments(cands: DataFrame, remembered: DataFrame) -> DataFr
 # ---- momentum ----------------------------------------------------------------------------
 def category_momentum(events: DataFrame) -> DataFrame:
     """Clicks, views and likes per (session, category) inside one activity window of the session."""
-    moved = F.when(F.col("event_type").isin("click", "view", "like"), F.col("category"))
-    sessions = session_signals(events.withColumn("category", moved), "category")
-    return per_kind(sessions, "category").where("category is not null").select(
-        "user_id", "session_id", "category", "started_at", F.size("own").cast("long").alias("n"), F.array_max("own").alias("last_at"),
-    )
+    return momentum_rows(per_kind(moved(events), "category"))
 
 
 def momentum_boost(cands: DataFrame, momentum: DataFrame) -> DataFrame:

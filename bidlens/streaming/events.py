@@ -7,6 +7,8 @@ results are exactly-once. State lives in the state store under the shared checkp
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from bidlens.operators import sessions as S
 from bidlens.session import work_path
 
-WATERMARK = "1 hour"
+LATENESS = 3600  # seconds
+WATERMARK = f"{LATENESS} seconds"
 
 
 def with_event_time(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -23,13 +26,64 @@ def with_event_time(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
+def closed_kinds(events: DataFrame, *fields: str) -> DataFrame:
+    """Stream twin of ``per_kind``: its rows for every window that the watermark has passed.
+
+    The state of a (user, session) holds, per open window, the count and last time of each kind, never the events. The
+    watermark runs on the end of the window that an event alone would open, so events are late when that window is closed.
+    """
+    gap = S.SESSION_GAP * 1_000_000
+
+    def joined(windows: list) -> list:
+        """Windows [first, last, {kind: [n, last]}] in order, with those less than a gap apart as one."""
+        out: list = []
+        for first, last, kinds in sorted(windows, key=lambda w: w[0]):
+            if not out or first - out[-1][1] > gap:
+                out.append([first, last, kinds])
+                continue
+            out[-1][1] = max(out[-1][1], last)
+            for kind, (n, at) in kinds.items():
+                own = out[-1][2].setdefault(kind, [0, at])
+                own[0], own[1] = own[0] + n, max(own[1], at)
+        return out
+
+    def step(key, batches, state: GroupState):
+        windows = json.loads(state.get[0]) if state.exists else []
+        for frame in batches:
+            windows = joined(windows + [[int(us), int(us), {kind: [1, int(us)]}] for us, kind in zip(frame["us"], frame["kind"])])
+        passed = state.getCurrentWatermarkMs()
+        open_ = [w for w in windows if w[1] + gap > passed * 1000]
+        if open_:
+            state.update((json.dumps(open_),))
+            state.setTimeoutTimestamp(max(-(-(min(w[1] for w in open_) + gap) // 1000) - 1, passed + 1))
+        elif state.exists:
+            state.remove()
+        out = [(*key, kind, w[0], n, at) for w in windows if w[1] + gap <= passed * 1000 for kind, (n, at) in w[2].items()]
+        if out:
+            yield pd.DataFrame(out, columns=["user_id", "session_id", "kind", "first", "n", "last"])
+
+    ts = F.col("ts").cast("timestamp")
+    keyed = events.where(ts.isNotNull()).select(
+        "user_id", "session_id", F.to_json(F.struct(*fields)).alias("kind"), F.unix_micros(ts).alias("us"),
+        (ts + F.make_dt_interval(secs=F.lit(S.SESSION_GAP))).alias("until"),
+    ).withWatermark("until", f"{LATENESS + S.SESSION_GAP} seconds")
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    closed = keyed.groupBy("user_id", "session_id").applyInPandasWithState(
+        step, f"user_id {types['user_id']}, session_id {types['session_id']}, kind string, first long, n long, last long",
+        "windows string", "append", GroupStateTimeout.EventTimeTimeout,
+    )
+    kind = F.from_json("kind", ", ".join(f"{f} {types[f]}" for f in fields))
+    return closed.withColumn("kind", kind).select(
+        "user_id", "session_id", F.timestamp_micros("first").alias("started_at"), "kind.*", "n", F.timestamp_micros("last").alias("last_at"))
+
+
 def session_counters(events: DataFrame) -> DataFrame:
     """Closed activity windows per (user, session, item, sign), counts capped at three."""
-    return S.session_counters(with_event_time(events))
+    return S.counter_rows(closed_kinds(S.signed(events), "item_id", "sign"))
 
 
 def category_momentum(events: DataFrame) -> DataFrame:
-    return S.category_momentum(with_event_time(events))
+    return S.momentum_rows(closed_kinds(S.moved(events), "category"))
 
 
 def like_dislike_state(events: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+from collections import defaultdict
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from bidlens.operators import sessions as S
@@ -61,6 +65,46 @@ def test_closed_sessions_equal_batch_and_late_events_drop(spark, tmp_path):
     assert sorted(map(tuple, got.select(*keys).collect())) == sorted(map(tuple, want.select(*keys).collect()))
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_windows_count_without_lists(spark, tmp_path):
+    """Counters and momentum of long sessions against plain Python, in batch and in a stream; no list of events is made."""
+    rng = random.Random(5)
+    start, data = datetime(2024, 1, 1), []
+    for n, user in enumerate((1, 1, 1, None, 2)):
+        at = start + timedelta(minutes=rng.randint(0, 90))
+        for k in range(60):
+            data.append((100 * n + k, str(at), user, rng.choice([5, 6, None]), rng.choice(["click", "like", "dislike", "view"]), "s" if n < 4 else None, "q", rng.choice(["C", "D", None]), "N"))
+            at += rng.choice([timedelta(seconds=9), timedelta(hours=1), timedelta(hours=1, microseconds=1), timedelta(minutes=59)])
+    counters, momentum = defaultdict(list), defaultdict(list)
+    windows, last = {}, {}
+    for _, at, user, item, kind, name, _, category, _ in sorted(data, key=lambda r: r[1].ljust(26, "0") if "." in r[1] else r[1] + ".000000"):
+        at = datetime.fromisoformat(at)
+        if (user, name) not in last or at - last[user, name] > timedelta(hours=1):
+            windows[user, name] = at
+        last[user, name] = at
+        counters[user, name, item, "penalized" if kind == "dislike" else "boosted", windows[user, name]].append(at)
+        if kind != "dislike" and category:
+            momentum[user, name, category, windows[user, name]].append(at)
+    text = lambda rows: sorted(map(str, rows))
+    want = text((*k, min(len(v), 3), max(v)) for k, v in counters.items()), text((*k, len(v), max(v)) for k, v in momentum.items())
+    batch = rows(spark, data)
+    spans = batch.groupBy("user_id", "session_id", F.session_window("ts", "1 hour").alias("w")).count()
+    assert text(tuple(r) for r in spans.select("user_id", "session_id", "w.start").collect()) == text({(k[0], k[1], k[4]) for k in counters})
+    for op, expected in zip((S.session_counters, S.category_momentum), want):
+        assert "collect_list" not in plan(op(batch))
+        assert text(tuple(r) for r in op(batch).collect()) == expected
+    ordered = sorted(data, key=lambda r: datetime.fromisoformat(r[1]))
+    end = (999, "2024-03-01 00:00:00", 77, 5, "click", "end", "q", "C", "N")
+    base = folder(spark, tmp_path, ordered[:150], ordered[150:], [end])
+    for op, label, expected in zip((E.session_counters, E.category_momentum), ("c", "m"), want):
+        stream = op(source(spark, base))
+        assert "collect_list" not in plan(stream)
+        assert text(tuple(r) for r in E.read_slices(spark, E.run_available(stream, "append", label)).drop("batch").collect()) == expected
+
+
 def test_bounce_across_batches(spark, tmp_path):
     base = folder(spark, tmp_path, [event(1, "08:00:00")], [event(2, "08:00:03", item=6), event(3, "08:00:08", item=7)])
     got = E.read_slices(spark, E.run_available(E.bounce_detection(source(spark, base)), "append", "b"))
