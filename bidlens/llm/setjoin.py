@@ -399,6 +399,13 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int
     Null ids: the row is compared like others, its component is the smallest id reachable, null if there is none.
     Repeated rows all stay and agree; empty tables give no rows; further columns are ignored.
     """
+    return labelled(docs, num, den, size).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def labelled(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, component_id and comp (its component, null without words) of every row."""
     plan = Plan(num, den, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
@@ -422,12 +429,12 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int
     rest = stage(near_pairs(plan, rest_pairs(lists, comps, classes, plan), classes, ("sketch",)), "pairs")
     comps = components(comps, stage(linked_pairs(plan, rest, classes, slim), "links"))
     named = comps.join(classes, "cls").groupBy("comp").agg(F.min("first").alias("smallest"))
-    labels = comps.join(named, "comp").select(F.col("cls").alias("_c"), "smallest")
+    labels = comps.join(named, "comp").select(F.col("cls").alias("_c"), "smallest", "comp")
     everyone = firsts.join(labels, F.col("cls") == F.col("_c"), "left").select(
-        F.col("cls").alias("_k"), F.coalesce("smallest", "first").alias("component_id")
+        F.col("cls").alias("_k"), F.coalesce("smallest", "first").alias("component_id"), F.coalesce("comp", "cls").alias("comp")
     )
     return facts.join(everyone, F.when(F.col("n") > 0, F.col("cls")) == F.col("_k"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "th", "n", "component_id", "comp"
     )
 
 
@@ -476,12 +483,22 @@ def dense_lists(lists: DataFrame, classes: DataFrame, passes: int = 2) -> DataFr
 
 
 def one_of_each(docs: DataFrame, num: int = 80, den: int = 100, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the document with the smallest id stays.
+    """The rows of ``docs`` without near copies: of each component one row stays, with the smallest id that it has.
 
-    Documents without words are in no group and stay; so do rows without id.
+    Rows are told apart by id and text, so another text under the same id is judged on its own, and rows without id belong
+    to their component. Of repeated rows one stays. Documents without words are in no group and stay.
     """
-    found = jaccard_components(docs, num, den, size).where(F.col("component_id") != F.col("doc_id")).select(
-        F.col("doc_id").alias("_d")
-    ).distinct()
     plain, _ = unclashed(docs, {"doc_id", "text", "lang", "source", "n_chars"})
-    return plain.join(found, F.col("doc_id") == F.col("_d"), "left_anti").toDF(*docs.columns)
+    rows = stage(labelled(docs, num, den, size).where("n > 0").groupBy("comp", "doc_id", "th").agg(F.count("*").alias("many")), "rows")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "many")
+    stays = stage(rows.groupBy("comp").agg(F.min(first).alias("r")).select(
+        F.col("r.doc_id").alias("_d"), F.col("r.th").alias("_t"), F.col("r.many").alias("_many")), "stays")
+    gone = rows.join(stays, same(("doc_id", "_d"), ("th", "_t")), "left_anti").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"))
+    twice = stays.where("_many > 1")
+    on = same(("doc_id", "_d"), ("_th", "_t"))
+    hashed = plain.withColumn("_th", F.xxhash64("text"))
+    whole = F.struct(*plain.columns)
+    rest = F.xxhash64(F.lit(0), *[c for c in ("lang", "source", "n_chars") if c in plain.columns])
+    single = hashed.join(twice, on, "left_semi").groupBy("doc_id", "_th").agg(F.min_by(whole, rest).alias("r")).select("r.*")
+    others = hashed.join(gone.unionByName(twice.select("_d", "_t")), on, "left_anti").select(*plain.columns)
+    return others.unionByName(single).toDF(*docs.columns)

@@ -179,6 +179,19 @@ def test_set_join_ids(session):
     assert got == brute_components(rows, 80, 100, 3)
 
 
+def test_one_of_each_row(session):
+    """One row of each group stays, be ids repeated or null; another text under a dropped id stays."""
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefghij") + str(rng.randrange(99)) for _ in range(40))
+    near = lambda t: t + " end"
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a, "x"), (1, a, "x"), (2, near(a), "x"), (2, b, "x"), (3, c, "x"), (None, near(c), "x"), (None, c, "x"), (None, d, "x"),
+            (None, near(d), "y"), (None, d, "z"), (4, e, "x"), (None, None, "x"), (None, "", "x"), (5, "", "x"), (5, "", "x")]
+    got = setjoin.one_of_each(table(session, rows)).collect()
+    assert sorted(str((r.doc_id, r.text)) for r in got if r.doc_id and r.text) == sorted(map(str, [(1, a), (2, b), (3, c), (4, e)]))
+    assert sum(r.doc_id is None and r.text in (d, near(d)) for r in got) == 1 and sum(not r.text for r in got) == 4 and len(got) == 9
+
+
 @pytest.mark.parametrize("most", [8192, 4])
 def test_suffix(session, most, monkeypatch):
     monkeypatch.setattr(suffix, "MOST_ROWS", most)
