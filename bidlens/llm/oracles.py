@@ -61,4 +61,47 @@ SQL = {
                coalesce(string_agg(CASE WHEN own THEN CAST(upto - length(body) - 1 AS BIGINT) || ':' || CAST(upto - 1 AS BIGINT) END, ',' ORDER BY pos), '') AS mask
         FROM w GROUP BY conv_id, perspective, part
     """,
+    "op12_hard_negatives": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike,
+                   CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+                   row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+            FROM s WHERE alike
+        ), n AS (
+            SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike
+                AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+            WHERE place <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+    """,
+    "op13_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS words FROM starts
+        ), later AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY words) AS first FROM windows) WHERE doc_id > first
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM later
+        ), lists AS (SELECT doc_id, list(place) AS gone FROM gone GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN lists USING (doc_id)
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+        FROM kept
+    """,
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from bidlens.llm import bpe, chat, factor, mixing, oracles, qualityrules, secretscan, setjoin, suffix, topk, urlrules
+from bidlens.llm import (
+    bpe, chat, factor, gnat, mixing, oracles, qualityrules, secretscan, setjoin, suffix, topk, urlrules, whiten, windows,
+)
 from bidlens.llm.tables import load
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -66,9 +68,24 @@ def op10_quality_rules(spark, folder):
     return qualityrules.quality_rules(load(spark, folder, "documents"), load(spark, folder, "labels"))
 
 
+def op11_embedding_whitening(spark, folder):
+    return whiten.whiten(load(spark, folder, "embeddings"))
+
+
+def op12_hard_negatives(spark, folder):
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat.mine(load(spark, folder, "embeddings").withColumn("label", flipped))
+
+
+def op13_substring_dedup(spark, folder):
+    kept = windows.remove_windows(load(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = [
     op1_topk_search, op2_secret_scan, op3_bpe, op4_url_filter, op5_chat_rotation, op6_jaccard_join,
-    op7_suffix_dedup, op8_source_mix, op9_quality_classifier, op10_quality_rules,
+    op7_suffix_dedup, op8_source_mix, op9_quality_classifier, op10_quality_rules, op11_embedding_whitening,
+    op12_hard_negatives, op13_substring_dedup,
 ]
 
 
