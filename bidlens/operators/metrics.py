@@ -98,9 +98,16 @@ def evaluate_search(judged: DataFrame) -> DataFrame:
     return means.unpivot("run", [F.col(f"`{n}`") for n in names], "metric", "value")
 
 
+def split_by_session(events: DataFrame, share: int = 8) -> DataFrame:
+    """Adds ``variant``: sessions are dealt to the two runs of an experiment by hash; ``share`` sixteenths are personalised."""
+    return events.withColumn(
+        "variant", F.when(F.conv(F.substring(F.md5("session_id"), 1, 1), 16, 10).cast("int") < share, "personalised").otherwise("baseline"))
+
+
 def ctr_bounce_delta(events: DataFrame) -> DataFrame:
-    """Click and bounce rates of two variants and their difference; needs ``variant``."""
-    share = lambda kind, v: F.count_if((F.col("event_type") == kind) & (F.col("variant") == v)) / F.count_if(F.col("variant") == v)
+    """Click and bounce rates of two variants and their difference; needs ``variant``. A variant without events has null rates."""
+    share = lambda kind, v: F.try_divide(
+        F.count_if((F.col("event_type") == kind) & (F.col("variant") == v)).cast("double"), F.count_if(F.col("variant") == v))
     rows = events.where("event_type in ('click', 'view', 'bounce')")
     return rows.agg(*[
         F.round(share(kind, v), 6).alias(f"{kind}_{v}") for kind in ("click", "bounce") for v in ("personalised", "baseline")

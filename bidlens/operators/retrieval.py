@@ -53,11 +53,6 @@ def bm25_index(postings: DataFrame, stats: DataFrame, key: str) -> DataFrame:
     return joined.select("term", key, "tf", "dl", (idf * weight).alias("impact"))
 
 
-def write_postings(index: DataFrame, table: str, buckets: int = 256) -> None:
-    """Keep the index as a table bucketed by term, so later term joins need no shuffle of it."""
-    index.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
-
-
 def bm25_scores(query_terms: DataFrame, index: DataFrame, key: str, query: str = "query") -> DataFrame:
     """Sum of impacts per (query, document); rounded, as sums depend on row order."""
     terms = query_terms.select(query, "term").distinct()

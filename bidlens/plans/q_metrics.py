@@ -104,14 +104,12 @@ def evaluate_search(t):
 
 
 @query("ctr_bounce_delta", """
-WITH e AS (SELECT event_type, CASE WHEN user_id IN (SELECT customer_id FROM t_purchases) THEN 'p' ELSE 'b' END AS v FROM t_events WHERE event_type IN ('click', 'view', 'bounce')),
-  r AS (SELECT round(count(*) FILTER (event_type = 'click' AND v = 'p') / count(*) FILTER (v = 'p'), 6) AS click_personalised,
-    round(count(*) FILTER (event_type = 'click' AND v = 'b') / count(*) FILTER (v = 'b'), 6) AS click_baseline,
-    round(count(*) FILTER (event_type = 'bounce' AND v = 'p') / count(*) FILTER (v = 'p'), 6) AS bounce_personalised,
-    round(count(*) FILTER (event_type = 'bounce' AND v = 'b') / count(*) FILTER (v = 'b'), 6) AS bounce_baseline FROM e)
+WITH e AS (SELECT event_type, CASE WHEN left(md5(session_id), 1) < '8' THEN 'p' ELSE 'b' END AS v FROM t_events WHERE event_type IN ('click', 'view', 'bounce')),
+  r AS (SELECT round(count(*) FILTER (event_type = 'click' AND v = 'p') / nullif(count(*) FILTER (v = 'p'), 0), 6) AS click_personalised,
+    round(count(*) FILTER (event_type = 'click' AND v = 'b') / nullif(count(*) FILTER (v = 'b'), 0), 6) AS click_baseline,
+    round(count(*) FILTER (event_type = 'bounce' AND v = 'p') / nullif(count(*) FILTER (v = 'p'), 0), 6) AS bounce_personalised,
+    round(count(*) FILTER (event_type = 'bounce' AND v = 'b') / nullif(count(*) FILTER (v = 'b'), 0), 6) AS bounce_baseline FROM e)
 SELECT *, round(click_personalised - click_baseline, 6) AS ctr_delta, round(bounce_personalised - bounce_baseline, 6) AS bounce_delta FROM r
 """)
 def ctr_bounce_delta(t):
-    warm = t.facts.select("user_id").distinct().withColumn("variant", F.lit("personalised"))
-    rows = t.user_events.join(warm, "user_id", "left").withColumn("variant", F.coalesce("variant", F.lit("baseline")))
-    return M.ctr_bounce_delta(rows)
+    return M.ctr_bounce_delta(M.split_by_session(t.user_events))

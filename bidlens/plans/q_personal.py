@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from bidlens.functions import dicts
 from bidlens.operators import analytics as A
 from bidlens.operators import personal as P
+from bidlens.plans.q_analytics import as_of
 from bidlens.plans.q_retrieval import candidates
 from bidlens.plans.registry import query, shared
 
@@ -127,9 +128,18 @@ def category_affinity(t):
     return P.category_affinity(candidates(t), categories(t)).where("affinity is not null").select("request_id", "item_id", "affinity")
 
 
-@query("industry_affinity", "SELECT * FROM t_industry_aff")
+shared("t_lately_aff", """
+SELECT DISTINCT c.request_id, c.item_id, 0.25::DOUBLE AS industry FROM t_cands c JOIN t_likes_each l USING (request_id)
+JOIN t_industry_categories i ON i.industry = l.industry AND i.category = c.category
+WHERE c.user_id NOT IN (SELECT customer_id FROM t_purchases, t_as_of WHERE contract_date >= d - 180)
+""")
+
+
+@query("industry_affinity", "SELECT * FROM t_lately_aff")
 def industry_affinity(t):
-    out = P.industry_affinity(interested(t), items(t))
+    """Every customer of the tables has bought once, so a user counts as new here without a contract in the last half year."""
+    lately = t.purchases.where(F.col("contract_date") >= F.date_sub(as_of(t), 180)).select(F.col("customer_id").alias("user_id"))
+    out = P.industry_affinity(interested(t), lately)
     return out.where("industry is not null").select("request_id", "item_id", "industry")
 
 

@@ -1,13 +1,17 @@
 """Registered queries: retrieval and candidates."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bidlens.functions import text as X
 from bidlens.functions import vectors as V
+from bidlens.operators import blockmax as B
 from bidlens.operators import retrieval as R
+from bidlens.operators import vectorcells as C
 from bidlens.plans.q_text import STOP, words_sql
 from bidlens.plans.registry import query, shared
-from bidlens.session import cut_lineage
+from bidlens.session import cut_lineage, kept, work_path
 
 
 def docs(t):
@@ -18,18 +22,42 @@ def names(t):
     return t.catalog_base.select("item_id", X.words(F.col("name")).alias("tokens"))
 
 
+def kept_blocks(t, label, source, index, key):
+    """Posting blocks of an index, built once for the source table and kept bucketed in the shared folder."""
+    def build():
+        buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"{label}_{uuid.uuid4().hex}"
+        return B.write_blocks(B.posting_blocks(index(), key), name, work_path(t.spark, label), buckets)
+
+    return kept(t.spark, label, f"{t.folder}/{source}.parquet", build)
+
+
+def doc_blocks(t):
+    def index():
+        p = cut_lineage(R.term_postings(docs(t), "doc_id", "tokens"), "postings")  # texts are split once
+        return R.bm25_index(p, R.corpus_stats(t.documents, p), "doc_id")
+
+    return kept_blocks(t, "doc_blocks", "documents", index, "doc_id")
+
+
 def doc_index(t):
-    p = cut_lineage(R.term_postings(docs(t), "doc_id", "tokens"), "postings")  # texts are split once
-    return R.bm25_index(p, R.corpus_stats(t.documents, p), "doc_id")
+    return B.postings_of(doc_blocks(t))
 
 
 def name_postings(t):
     return R.term_postings(names(t), "item_id", "tokens")
 
 
+def name_blocks(t):
+    def index():
+        p = cut_lineage(name_postings(t), "postings")
+        return R.bm25_index(p, R.corpus_stats(t.catalog_base, p), "item_id")
+
+    return kept_blocks(t, "name_blocks", "part", index, "item_id")
+
+
 def name_index(t):
-    p = name_postings(t)
-    return R.bm25_index(p, R.corpus_stats(t.catalog_base, p), "item_id")
+    return B.postings_of(name_blocks(t))
 
 
 def log_queries(t):
@@ -83,7 +111,8 @@ WHERE rk <= 50
 """)
 def bm25_score(t):
     terms = t.raw("benchmark").select("item_id", F.explode(X.words(F.col("text"), STOP)).alias("term"))
-    return R.bm25_score(terms, doc_index(t), "doc_id", 50, "item_id")
+    sizes = terms.select("item_id").distinct().withColumn("k", F.lit(50))
+    return B.block_max_score(terms, doc_blocks(t), sizes, "doc_id", "item_id")
 
 
 @query("bm25_full_scores", """
@@ -122,7 +151,12 @@ WHERE rn <= 10
 """)
 def vector_topk(t):
     queries = t.item_vectors.select(F.col("item_id").alias("query"), "vector")
-    return R.vector_topk(queries, t.item_vectors, 10)
+    return C.cell_topk(queries.withColumn("k", F.lit(10)), item_cells(t))
+
+
+def item_cells(t):
+    """Cells of the item vectors, built once for the embeddings table."""
+    return kept(t.spark, "item_cells", f"{t.folder}/embeddings.parquet", lambda: C.build_cells(t.item_vectors))
 
 
 shared("t_query_vectors", """
@@ -145,9 +179,10 @@ def query_kinds(t):
 
 def fused(t):
     kinds = query_kinds(t)
-    bm25 = R.bm25_score(R.query_terms(log_queries(t)), name_index(t), "item_id", 400).join(kinds, "query").where("rk <= top_k * 5")
-    asked = cut_lineage(query_vectors(t), "query-vectors")  # read twice: counted, then matched
-    sem = R.vector_topk(asked, t.item_vectors, 400).join(kinds, "query").where("rn <= top_k * 5")
+    sizes = kinds.select("query", (F.col("top_k") * 5).alias("k"))
+    bm25 = B.block_max_score(R.query_terms(log_queries(t)), name_blocks(t), sizes, "item_id")
+    asked = query_vectors(t)
+    sem = C.cell_topk(asked.join(sizes, "query"), item_cells(t))
     return R.hybrid_fuse(bm25, sem, kinds)
 
 

@@ -60,3 +60,21 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_kept: dict[tuple, object] = {}
+
+
+def source_state(spark: SparkSession, path: str) -> tuple:
+    """Files, bytes and newest change under a path; only their listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return tuple(files.agg({"path": "count", "length": "sum", "modificationTime": "max"}).first())
+
+
+def kept(spark: SparkSession, label: str, source: str, build):
+    """What ``build()`` makes of a source table, made once in a session and anew if the source's files have changed."""
+    key = (spark.sparkContext.applicationId, label, source)
+    state = source_state(spark, source)
+    if key not in _kept or _kept[key][0] != state:
+        _kept[key] = (state, build())
+    return _kept[key][1]
