@@ -23,9 +23,14 @@ def collective_patterns(events: DataFrame, min_users: int = 2) -> DataFrame:
     typed = (
         chosen.groupBy("query", F.col("name").alias("product_name"))
         .agg(F.count_distinct("user_id").alias("user_count"))
-        .where(F.col("user_count") >= min_users)
     )
-    return typed.groupBy(clean_query("query").alias("query"), "product_name").agg(F.max("user_count").alias("user_count"))
+    return shown_patterns(typed, min_users)
+
+
+def shown_patterns(typed: DataFrame, min_users: int = 2) -> DataFrame:
+    """Patterns of enough users from counts per query as typed."""
+    enough = typed.where(F.col("user_count") >= min_users)
+    return enough.groupBy(clean_query("query").alias("query"), "product_name").agg(F.max("user_count").alias("user_count"))
 
 
 def learned_rewrites(patterns: DataFrame, k: int = 3) -> DataFrame:
@@ -174,16 +179,20 @@ def momentum_boost(cands: DataFrame, momentum: DataFrame) -> DataFrame:
 def like_dislike_state(events: DataFrame, now: Column, ttl_days: int = 7) -> DataFrame:
     """Latest of like and dislike per (user, item), kept while the user's list lives.
 
-    A list of likes (or dislikes) expires seven days after its last entry.
+    A list of likes (or dislikes) dies when nothing has been added to it for seven days; what is added later starts it anew.
     """
     votes = events.where("event_type in ('like', 'dislike')")
     last = votes.groupBy("user_id", "item_id").agg(
         F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("last_at")
     )
-    alive = votes.groupBy("user_id", F.col("event_type").alias("state")).agg(F.max("ts").alias("touched")).where(
-        F.col("touched") >= now - F.expr(f"interval {ttl_days} days")
-    )
-    return last.join(alive.drop("touched"), ["user_id", "state"], "left_semi")
+    ttl = F.expr(f"interval {ttl_days} days")
+    times = votes.select("user_id", F.col("event_type").alias("state"), "ts").distinct()
+    before = F.lag("ts").over(W.partitionBy("user_id", "state").orderBy("ts"))
+    lists = times.withColumn("fresh", before.isNull() | (F.col("ts") > before + ttl)).groupBy("user_id", "state").agg(
+        F.max("ts").alias("touched"), F.max(F.when(F.col("fresh"), F.col("ts"))).alias("since")
+    ).where(F.col("touched") >= now - ttl)
+    on = last.user_id.eqNullSafe(lists.user_id) & (last.state == lists.state) & (last.last_at >= lists.since)
+    return last.join(lists, on, "left_semi")
 
 
 def like_dislike_boost(state: DataFrame) -> DataFrame:

@@ -140,8 +140,10 @@ def momentum_boost(t):
 shared("t_likes_state", """
 SELECT user_id, item_id, state, last_at FROM (SELECT user_id, item_id, arg_max(event_type, (ts, event_id)) AS state, max(ts) AS last_at FROM t_events
   WHERE event_type IN ('like', 'dislike') GROUP BY 1, 2) JOIN (
-  SELECT user_id, event_type AS state FROM t_events, t_event_now WHERE event_type IN ('like', 'dislike') GROUP BY 1, 2, now_ts
-  HAVING max(ts) >= now_ts - INTERVAL 7 DAY) USING (user_id, state)
+  SELECT user_id, event_type AS state, max(ts) FILTER (fresh) AS since FROM (
+    SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) + INTERVAL 7 DAY, true) AS fresh
+    FROM t_events WHERE event_type IN ('like', 'dislike')), t_event_now GROUP BY 1, 2, now_ts
+  HAVING max(ts) >= now_ts - INTERVAL 7 DAY) USING (user_id, state) WHERE last_at >= since
 """)
 
 

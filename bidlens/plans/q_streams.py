@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from bidlens.operators import sessions as S
-from bidlens.plans.q_sessions import stamp
+from bidlens.plans.q_sessions import now, stamp
 from bidlens.plans.registry import query
 from bidlens.sources.adapters import shape_events
 from bidlens.sources.cleaning import validated_events
@@ -49,20 +49,21 @@ def flush_strong_signals_stream(t):
     return E.read_slices(t.spark, path).groupBy("user_id", "item_id", "sign").agg(stamp(F.max("last_at")).alias("last_at"))
 
 
-@query("like_dislike_state_stream", """
-SELECT user_id, item_id, arg_max(event_type, (ts, event_id)) AS state FROM t_events WHERE event_type IN ('like', 'dislike') GROUP BY 1, 2
-""")
+@query("like_dislike_state_stream", "SELECT user_id, item_id, state FROM t_likes_state")
 def like_dislike_state_stream(t):
     path = E.run_available(E.like_dislike_state(stream(t)), "update", "votes")
-    return E.read_latest(t.spark, path, ["user_id", "item_id"]).select("user_id", "item_id", "state")
+    return E.live_votes(t.spark, path, now(t)).select("user_id", "item_id", "state")
 
 
 @query("last_category_touch_stream", """
-SELECT user_id, category, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM t_events WHERE event_type IN ('click', 'view', 'like', 'compare') GROUP BY 1, 2
+SELECT user_id, category, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_at FROM t_events, t_event_now
+WHERE event_type IN ('click', 'view', 'like', 'compare') GROUP BY 1, 2, now_ts HAVING max(ts) >= now_ts - INTERVAL 10 DAY
 """)
 def last_category_touch_stream(t):
-    path = E.run_available(E.last_category_touch(stream(t)), "update", "touch")
-    return E.read_latest(t.spark, path, ["user_id", "category"]).withColumn("last_at", stamp("last_at"))
+    """The log spans 30 days; ten instead of 60 let touches expire."""
+    path = E.run_available(E.last_category_touch(stream(t), ttl_days=10), "update", "touch")
+    rows = E.read_latest(t.spark, path, ["user_id", "category"]).where(F.col("last_at") >= now(t) - F.expr("interval 10 days"))
+    return rows.withColumn("last_at", stamp("last_at"))
 
 
 @query("popular_queries_stream", "SELECT q AS query, count(*) AS cnt FROM t_asked GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -73,9 +74,8 @@ def popular_queries_stream(t):
 
 @query("collective_patterns_stream", "SELECT * FROM t_patterns")
 def collective_patterns_stream(t):
-    seen = E.read_slices(t.spark, E.run_available(E.chosen_products(stream(t)), "append", "chosen"))
-    events = seen.select("query", F.col("product_name").alias("name"), "user_id", F.lit("click").alias("event_type"))
-    return S.collective_patterns(events)
+    path = E.run_available(E.pattern_users(stream(t)), "update", "patterns")
+    return E.collective_patterns(E.read_latest(t.spark, path, ["query", "product_name", "range"]))
 
 
 @query("first_click_dedup_stream", "SELECT DISTINCT user_id, session_id, item_id FROM t_events WHERE event_type = 'click'")
@@ -86,9 +86,11 @@ def first_click_dedup_stream(t):
 
 @query("bounce_detection_stream", """
 SELECT user_id, session_id, item_id, event_id, round(gap, 6) AS open_seconds FROM (
-  SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id)) - epoch_us(ts)) / 1e6 AS gap FROM t_events)
-WHERE event_type = 'click' AND gap < 600
+  SELECT *, (epoch_us(next) - epoch_us(ts)) / 1e6 AS gap FROM (
+    SELECT *, lead(ts) OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) AS next FROM t_events)), t_event_now
+WHERE event_type = 'click' AND gap < 600 AND epoch_ms(next) < epoch_ms(now_ts) - 3600000
 """)
 def bounce_detection_stream(t):
+    """Bounces whose next event the watermark has passed; the hour before the newest event is still open."""
     out = E.read_slices(t.spark, E.run_available(E.bounce_detection(stream(t), 600.0), "append", "bounces"))
     return out.select("user_id", "session_id", "item_id", "event_id", F.round("open_seconds", 6).alias("open_seconds"))

@@ -16,9 +16,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bidlens.operators import sessions as S
 from bidlens.session import work_path
+from bidlens.streaming.stateful import Bounces, Touches, Votes
 
 LATENESS = 3600  # seconds
 WATERMARK = f"{LATENESS} seconds"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+progress: dict[str, list[int]] = {}  # rows of state after each batch, by the folder of a run
 
 
 def with_event_time(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
@@ -86,27 +90,60 @@ def category_momentum(events: DataFrame) -> DataFrame:
     return S.momentum_rows(closed_kinds(S.moved(events), "category"))
 
 
-def like_dislike_state(events: DataFrame) -> DataFrame:
-    """Latest vote per (user, item), updated as events arrive; the TTL is applied when reading."""
-    votes = events.where("event_type in ('like', 'dislike')")
-    return votes.groupBy("user_id", "item_id").agg(
-        F.max(F.struct("ts", "event_id", F.col("event_type").alias("state"))).alias("v")
-    ).select("user_id", "item_id", "v.state", F.col("v.ts").alias("last_at"))
+def keyed_rows(events: DataFrame, *columns: str) -> DataFrame:
+    """Events with the columns of a stateful processor: microseconds ``us`` next to the watermarked ``ts``."""
+    dated = with_event_time(events.where("ts is not null"))
+    return dated.select(*columns, F.unix_micros("ts").alias("us"), "ts")
 
 
-def last_category_touch(events: DataFrame) -> DataFrame:
+def like_dislike_state(events: DataFrame, ttl_days: int = 7) -> DataFrame:
+    """Changed votes per (user, item) and touched lists per user (rows without item, with their start); see :class:`Votes`."""
+    votes = keyed_rows(events.where("event_type in ('like', 'dislike')").withColumn("state", F.col("event_type")), "user_id", "item_id", "state", "event_id")
+    user = events.schema["user_id"].dataType.simpleString()
+    return votes.groupBy("user_id").transformWithStateInPandas(
+        Votes(ttl_days), f"user_id {user}, item_id long, state string, us long, since long", "update", "EventTime")
+
+
+def live_votes(spark: SparkSession, path: str, now, ttl_days: int = 7) -> DataFrame:
+    """Votes of the lists that live at ``now``, from the slices of :func:`like_dislike_state`."""
+    rows = read_slices(spark, path)
+    latest = lambda keys, values: rows.where(F.col("since").isNull() if "item_id" in keys else F.col("since").isNotNull()).groupBy(*keys).agg(
+        F.max_by(F.struct(*values), F.struct("batch", "us")).alias("r")).select(*keys, "r.*")
+    votes = latest(["user_id", "item_id"], ["state", "us"])
+    lists = latest(["user_id", "state"], [F.col("us").alias("last"), "since"]).where(
+        F.timestamp_micros("last") >= now - F.expr(f"interval {ttl_days} days"))
+    return votes.join(lists, (votes.user_id.eqNullSafe(lists.user_id)) & (votes.state == lists.state) & (votes.us >= lists.since), "left_semi").select(
+        "user_id", "item_id", "state", F.timestamp_micros("us").alias("last_at"))
+
+
+def last_category_touch(events: DataFrame, ttl_days: int = 60) -> DataFrame:
+    """Changed last touches per (user, category); forgotten after ``ttl_days``."""
     touched = events.where("event_type in ('click', 'view', 'like', 'compare') and category is not null")
-    return touched.groupBy("user_id", "category").agg(F.max("ts").alias("last_at"))
+    user = events.schema["user_id"].dataType.simpleString()
+    return keyed_rows(touched, "user_id", "category").groupBy("user_id").transformWithStateInPandas(
+        Touches(ttl_days), f"user_id {user}, category string, us long", "update", "EventTime",
+    ).select("user_id", "category", F.timestamp_micros("us").alias("last_at"))
 
 
 def query_counts(events: DataFrame) -> DataFrame:
     return S.asked(events).groupBy(F.col("q").alias("query")).agg(F.count("*").alias("cnt"))
 
 
-def chosen_products(events: DataFrame) -> DataFrame:
-    """First sight of every (query, product, user); counting users per pattern is then a batch sum."""
-    chosen = events.where("event_type in ('click', 'like') and query is not null and query not in ('', '*')")
-    return chosen.select("query", F.col("name").alias("product_name"), "user_id").dropDuplicates()
+def pattern_users(events: DataFrame) -> DataFrame:
+    """Users of every (query, product) as bitmaps, one per range of user ids; exact and mergeable.
+
+    State grows with patterns and ranges of users, not with (query, product, user); a pattern that a third of all users
+    chose lies in many ranges, so in many tasks.
+    """
+    chosen = events.where("event_type in ('click', 'like') and query is not null and query not in ('', '*')").withColumn("user", F.col("user_id").cast("long"))
+    return chosen.groupBy("query", F.col("name").alias("product_name"), F.bitmap_bucket_number("user").alias("range")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("user")).alias("users"))
+
+
+def collective_patterns(latest: DataFrame) -> DataFrame:
+    """Patterns of at least two users, from the newest bitmaps of :func:`pattern_users`."""
+    users = latest.groupBy("query", "product_name").agg(F.sum(F.bitmap_count("users")).alias("user_count"))
+    return S.shown_patterns(users)
 
 
 def first_click_dedup(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -118,36 +155,14 @@ def first_click_dedup(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def bounce_detection(events: DataFrame, seconds: float = 4.0) -> DataFrame:
-    """Opened items left for the next event of the session within ``seconds``.
+    """Opened items left for the next event of the session within ``seconds``; see :class:`Bounces`.
 
-    The state of a session is its last event only. An event that arrives in a later batch than a newer one of its
-    session is left out: it neither ends an open item nor becomes the last event.
+    Rows come out once the watermark has passed the next event, so events may arrive out of order by up to its delay.
     """
-
-    def step(key, batches, state: GroupState):
-        user, session = key
-        last = state.get if state.exists else None
-        out = []
-        frames = list(batches)
-        if frames:
-            rows = pd.concat(frames).sort_values(["us", "event_id"])
-            for item, event, kind, us in zip(rows["item_id"], rows["event_id"], rows["event_type"], rows["us"]):
-                if last is not None and us < last[3]:
-                    continue
-                if last is not None and last[2] == "click" and (us - last[3]) / 1e6 < seconds:
-                    out.append((user, session, last[0], last[1], (us - last[3]) / 1e6))
-                last = (int(item), int(event), kind, int(us))
-            state.update(last)
-        if out:
-            yield pd.DataFrame(out, columns=["user_id", "session_id", "item_id", "event_id", "open_seconds"])
-
-    keyed = events.select(
-        "user_id", "session_id", "item_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
-    )
-    return keyed.groupBy("user_id", "session_id").applyInPandasWithState(
-        step, "user_id long, session_id string, item_id long, event_id long, open_seconds double",
-        "item_id long, event_id long, event_type string, us long", "append", GroupStateTimeout.NoTimeout,
-    )
+    types = {f.name: f.dataType.simpleString() for f in events.schema}
+    return keyed_rows(events, "user_id", "session_id", "item_id", "event_id", "event_type").groupBy("user_id", "session_id").transformWithStateInPandas(
+        Bounces(seconds), f"user_id {types['user_id']}, session_id {types['session_id']}, item_id long, event_id long, open_seconds double",
+        "append", "EventTime")
 
 
 # ---- running -----------------------------------------------------------------------------
@@ -160,14 +175,20 @@ def run_available(stream: DataFrame, mode: str, label: str, shape=None) -> str:
         out = shape(batch) if shape else batch
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", work_path(spark, f"{label}-state"))
-        .trigger(availableNow=True)
-        .foreachBatch(save)
-        .start()
-    )
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)  # maps and timers need it, and state then is not bound to the heap
+    try:
+        run = (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", work_path(spark, f"{label}-state"))
+            .trigger(availableNow=True)
+            .foreachBatch(save)
+            .start()
+        )
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)
     run.awaitTermination()
+    progress[path] = [sum(op.numRowsTotal for op in p.stateOperators) for p in run.recentProgress]
     return path
 
 
