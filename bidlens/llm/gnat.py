@@ -24,6 +24,7 @@ BLOCK = 4096  # rows of a part of a leaf
 ANCHORS = 256  # anchors of a block of anchors
 EXACT = 1 << 52  # products up to this are exact in double precision
 LONGEST = 1 << 62  # squared length from which scores would not fit into a long
+MESSAGE = 8 << 20  # bytes of anchors that leave a task together
 NONE = np.iinfo(np.int64).min
 
 
@@ -202,6 +203,19 @@ def parts_of(rows: DataFrame, size: int) -> dict[int, int]:
     return {r.leaf: max(1, -(-r["count"] // size)) for r in rows.groupBy("leaf").count().collect()}  # one row per leaf
 
 
+def in_groups(rows: DataFrame, size: int) -> DataFrame:
+    """Rows dealt to groups (columns group, part) of about ``size`` from leaves next to each other in the tree; a leaf with
+    more rows is a group of several parts."""
+    groups, group, held = [], 0, 0
+    for r in sorted(rows.groupBy("leaf").count().collect(), key=lambda r: r.leaf):  # one row per leaf
+        if held and held + r["count"] > size:
+            group, held = group + 1, 0
+        held += r["count"]
+        groups.append((r.leaf, group, max(1, -(-r["count"] // size))))
+    of = rows.sparkSession.createDataFrame(groups, "l long, group long, parts long")
+    return rows.join(of, F.col("leaf") == F.col("l")).withColumn("part", F.pmod(F.xxhash64("vec_id", "tag"), F.col("parts"))).drop("l", "parts")
+
+
 def products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
     if exact:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
@@ -265,6 +279,11 @@ class Asked:
 ASKED = "leaf long, part long, a_ids binary, a_tags binary, a_labels binary, a_data binary, owner binary, name binary, low binary, high binary"
 
 
+def _asked(columns: list[list]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64()] + [pa.binary()] * (len(columns) - 2)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[f.split()[0] for f in ASKED.split(", ")])
+
+
 def routed(tree: Tree, parts: dict[int, int], sample: tuple[np.ndarray, ...], k: int, alike: bool):
     """For each block of anchors and each part of a leaf that one of its windows may meet: those windows and their anchors."""
 
@@ -275,6 +294,7 @@ def routed(tree: Tree, parts: dict[int, int], sample: tuple[np.ndarray, ...], k:
                 x = np.frombuffer(r["data"], np.int64).reshape(len(a["ids"]), tree.width)
                 asked = Asked(a["ids"], a["tags"], a["labels"], x, a["owner"], a["name"], a["low"], a["high"], alike).bounded(tree, sample, k)
                 near, far = asked.annuli(tree)
+                out, held = [[] for _ in ASKED.split(", ")], 0
                 for leaf, live in tree.leaves_within(x, near, far, asked.owner):
                     if leaf not in parts:
                         continue
@@ -282,8 +302,14 @@ def routed(tree: Tree, parts: dict[int, int], sample: tuple[np.ndarray, ...], k:
                     columns = [asked.ids[used], asked.tags[used], asked.labels[used], x[used], owner.astype(np.int64), asked.name[live], asked.low[live], asked.high[live]]
                     packed_up = [np.ascontiguousarray(c).tobytes() for c in columns]
                     for part in range(parts[leaf]):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([leaf]), pa.array([part]), *[pa.array([c], pa.binary()) for c in packed_up]], names=[f.split()[0] for f in ASKED.split(", ")])
+                        for column, value in zip(out, (leaf, part, *packed_up)):
+                            column.append(value)
+                        held += sum(map(len, packed_up))
+                        if held > MESSAGE:
+                            yield _asked(out)
+                            out, held = [[] for _ in out], 0
+                if out[0]:
+                    yield _asked(out)
 
     return batches
 
@@ -296,22 +322,22 @@ def looked_up(width: int, exact: bool, k: int, alike: bool):
 
     def batches(source):
         for batch in source:
+            out = []
             for r in batch.to_pylist():
                 a = {c: np.frombuffer(r[c], np.int64) for c in ("a_ids", "a_tags", "a_labels", "a_data", "owner", "name", "low", "high", "ids", "tags", "labels", "data")}
                 asked = Asked(a["a_ids"], a["a_tags"], a["a_labels"], a["a_data"].reshape(-1, width), a["owner"], a["name"], a["low"], a["high"], alike)
                 scores = products(asked.x, a["data"].reshape(-1, width), exact)[asked.owner]
                 row, col = best(scores, asked.allowed(scores, a["ids"], a["labels"]), k)
                 owner = asked.owner[row]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(asked.ids[owner]), pa.array(asked.tags[owner]), pa.array(asked.name[row]), pa.array(a["ids"][col]), pa.array(a["tags"][col]),
-                    pa.array([int(s) for s in scores[row, col]], pa.int64()),
-                ], names=[f.split()[0] for f in FOUND.split(", ")])
+                out.append((asked.ids[owner], asked.tags[owner], asked.name[row], a["ids"][col], a["tags"][col], scores[row, col].astype(np.int64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[f.split()[0] for f in FOUND.split(", ")])
 
     return batches
 
 
 def anchor_blocks(anchors: DataFrame, width: int, size: int = ANCHORS) -> DataFrame:
-    """Anchors (rows with leaf, windows: array of name, low, high) in blocks of about ``size`` of the same leaf."""
+    """Anchors (rows with leaf, windows: array of name, low, high) in blocks of about ``size`` from neighbouring leaves."""
 
     def block(key, table):
         table = table.sort_by([("vec_id", "ascending"), ("tag", "ascending")])
@@ -325,8 +351,7 @@ def anchor_blocks(anchors: DataFrame, width: int, size: int = ANCHORS) -> DataFr
             "name": [flat("name")], "low": [flat("low")], "high": [flat("high")],
         })
 
-    # a leaf of n anchors is dealt to n / size parts; leaves are few (bounded by SAMPLE)
-    return in_parts(anchors, parts_of(anchors, size)).groupBy("leaf", "part").applyInArrow(
+    return in_groups(anchors, size).groupBy("group", "part").applyInArrow(
         block, "ids binary, tags binary, labels binary, data binary, owner binary, name binary, low binary, high binary")
 
 
