@@ -49,6 +49,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return cut_lineage(df, label)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again; later tables were written from it and do not go back to it."""
+    files = df.inputFiles()
+    if files:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def whole_text(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

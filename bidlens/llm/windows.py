@@ -4,7 +4,8 @@ A window of ``length`` words is stood for by a shorter one inside it. At the fir
 ``base``-word windows; only those that are repeated across documents survive, and are extended to twice their length (the
 least hashed window of that length that holds the survivor and lies in the long window), until the full length is reached
 or no candidate survives. Equal long windows choose equal shorter ones, so none is lost, and each level looks at fewer
-places. Lower levels compare 64-bit hashes, as they only narrow the search; the last one 128-bit digests.
+places. Lower levels compare 64-bit hashes, as they only narrow the search; the last one adds 32 bits of an
+independent hash (at 10**13 windows, a false match anywhere is expected with less than one in a thousand).
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 
 from bidlens.llm.mixing import same
 from bidlens.llm.suffix import NO_ID, sliding_min
-from bidlens.llm.tables import stage
+from bidlens.llm.tables import stage, unstage
 from bidlens.llm.wordhash import chunks, mix, stretch_hashes, text_bytes, word_bounds
 
 LENGTH, BASE = 13, 4
 PIECE = 1 << 20  # windows looked at together
 TAG = 24  # bits of a text's hash that tell rows of one id apart
-ASK, SURE, TELL = 0, 1, 2  # to be compared; survives already; survives already and tells others
+RUN = 40  # a run of places in one number: its length above this bit, its first position below
+MOST = 1 << 22  # places of a run
+ASK, TELL = 0, -1  # kinds of rows: to be compared; survives already and tells others; a run of n places that survive is n
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = (np.arange(256) * 167 + 13).astype(np.uint8)  # each byte changed to another one
 
@@ -101,11 +104,10 @@ def candidates(sizes: list[int], level: int, length: int):
             alive = np.ones(len(s), dtype=bool)
             if level:
                 part = found.slice(i, len(cut) - 1)
-                counts = np.diff(part.offsets.to_numpy())
-                spots = part.flatten().to_numpy() + np.repeat(cut[:-1], counts)
-                alive = np.zeros(len(s), dtype=bool)
-                alive[spots] = True
-                if not len(spots):
+                start, n = unrun(part.flatten().to_numpy())
+                start = start + np.repeat(cut[:-1], np.diff(part.offsets.to_numpy()))
+                alive = covered(start, start + n, len(s))
+                if not alive.any():
                     continue
             words = stretch_hashes(buf, s, e)
             extra = second_hashes(buf, s, e) if last else words
@@ -122,7 +124,9 @@ def candidates(sizes: list[int], level: int, length: int):
                     whole &= alive[a + where[level - 1]]
                 spot = np.unique(where[level][whole])
                 key = names[sizes[level]][spot].view(np.int64)
-                digest = hashes_at(extra[a: a + PIECE + length - 1], sizes[level])[spot].view(np.int64) if last else np.zeros(len(spot), np.int64)
+                digest = np.zeros(len(spot), np.int32)
+                if last:
+                    digest = (hashes_at(extra[a: a + PIECE + length - 1], length)[spot] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 row = doc[a + spot]
                 yield key, digest, ids[i + row], pack(a + spot - cut[row], tags[i + row])
 
@@ -138,27 +142,60 @@ def candidates(sizes: list[int], level: int, length: int):
             group = np.cumsum(first) - 1
             low = ids[first][group]
             if last:  # later than another one here: removed, whatever other tasks hold
-                kind = np.where(ids > low, SURE, ASK)
+                kind = np.where(ids > low, 1, ASK)
             else:
                 ends = np.append(np.flatnonzero(first)[1:], len(ids)) - 1
                 repeated = (ids[ends] != ids[first])[group]
-                kind = np.where(repeated, np.where(first, TELL, SURE), ASK)
-            spread = mix(ids.astype(np.uint64) ^ mix(pos.astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kind.astype(np.int8)), pa.array(np.where(kind == SURE, spread, key)), pa.array(digest), pa.array(ids), pa.array(pos)],
-                names=["kind", "key", "digest", "id", "pos"])
+                kind = np.where(repeated, np.where(first, TELL, 1), ASK)
+            sure = kind > 0
+            yield _rows(kind[~sure], key[~sure], digest[~sure], ids[~sure], pos[~sure])
+            if sure.any():  # these only pass through: as runs, in the order of their texts, keyed by text
+                own, at, n = runs(ids[sure], pos[sure])
+                spread = mix(own.astype(np.uint64) ^ mix((at & ((1 << TAG) - 1)).astype(np.uint64))).view(np.int64)
+                yield _rows(n, spread, np.zeros(len(at), np.int32), own, at)
 
     return batches
 
 
+def _rows(kind, key, digest, ids, pos) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(kind.astype(np.int32)), pa.array(key), pa.array(digest), pa.array(ids), pa.array(pos)], names=["kind", "key", "digest", "id", "pos"])
+
+
+def runs(ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places as (id, first place, number) of runs of neighbouring ones of one text."""
+    order = np.lexsort((pos, pos & ((1 << TAG) - 1), ids))
+    ids, pos = ids[order], pos[order]
+    first = starts_of(ids, pos - (np.arange(len(pos)) << TAG))
+    heads = np.flatnonzero(first)
+    n = np.diff(np.append(heads, len(pos)))
+    pieces = -(-n // MOST)
+    start = np.repeat(pos[heads], pieces)
+    nth = np.arange(len(start)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(ids[heads], pieces), start + ((nth * MOST) << TAG), np.minimum(np.repeat(n, pieces) - nth * MOST, MOST)
+
+
+def unrun(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return found & ((1 << RUN) - 1), found >> RUN
+
+
+def covered(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n positions lie in one of the intervals."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, end, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def starts_of(*keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys[0]), dtype=bool)
     out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     return out
 
 
-def _places(ids, pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos)], names=["id", "pos"])
+def _places(ids, pos, n=None) -> pa.RecordBatch:
+    n = np.ones(len(ids), np.int64) if n is None else n
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(pos), pa.array(n)], names=["id", "pos", "n"])
 
 
 def survivors(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,9 +205,9 @@ def survivors(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = None  # key of a group that is known to be repeated
     for batch in source:
         kind, key, ids, pos = (batch.column(c).to_numpy() for c in ("kind", "key", "id", "pos"))
-        sure = kind == SURE
+        sure = kind > 0
         if sure.any():
-            yield _places(ids[sure], pos[sure])
+            yield _places(ids[sure], pos[sure], kind[sure].astype(np.int64))
             kind, key, ids, pos = (c[~sure] for c in (kind, key, ids, pos))
         if not len(key):
             continue
@@ -203,9 +240,9 @@ def later_ones(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last = None  # key, digest and smallest id of the last group
     for batch in source:
         kind, key, digest, ids, pos = (batch.column(c).to_numpy() for c in ("kind", "key", "digest", "id", "pos"))
-        sure = kind == SURE
+        sure = kind > 0
         if sure.any():
-            yield _places(ids[sure], pos[sure])
+            yield _places(ids[sure], pos[sure], kind[sure].astype(np.int64))
             key, digest, ids, pos = (c[~sure] for c in (key, digest, ids, pos))
         if not len(key):
             continue
@@ -227,11 +264,8 @@ def kept_words(length: int):
             n_words, n_removed, kept, spans = [], [], [], []
             for text, found in zip(batch.column("text"), batch.column("found")):
                 words = (text.as_py() or "").encode().split()  # splits at space and U+0009 to U+000D
-                starts = found.values.to_numpy() if found.is_valid else np.empty(0, np.int64)
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, starts, 1)
-                np.add.at(change, starts + length, -1)
-                gone = np.cumsum(change[:-1]) > 0
+                start, n = unrun(found.values.to_numpy() if found.is_valid else np.empty(0, np.int64))
+                gone = covered(start, start + n - 1 + length, len(words))
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0])))) if len(words) else np.empty(0, np.int64)
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
@@ -246,8 +280,9 @@ def kept_words(length: int):
 
 
 def with_places(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """``rows`` with ``found``: the word positions of their places; null where there is none."""
-    by_row = places.select("id", F.shiftright("pos", TAG).alias("at"), F.col("pos").bitwiseAND((1 << TAG) - 1).alias("tag")).groupBy("id", "tag").agg(
+    """``rows`` with ``found``: the runs of their places (word positions); null where there is none."""
+    run = F.shiftleft("n", RUN).bitwiseOR(F.shiftright("pos", TAG))
+    by_row = places.select("id", run.alias("at"), F.col("pos").bitwiseAND((1 << TAG) - 1).alias("tag")).groupBy("id", "tag").agg(
         F.collect_set("at").alias("found")).select(F.col("id").alias("_i"), F.col("tag").alias("_t"), "found")
     return rows.join(by_row, same(("id", "_i"), ("tag", "_t")), "left").drop("_i", "_t")
 
@@ -271,9 +306,11 @@ def remove_windows(docs: DataFrame, length: int = LENGTH, base: int = BASE) -> D
     for level in range(len(sizes)):
         last = level == len(sizes) - 1
         looked = rows if places is None else with_places(rows, places).where(F.col("found").isNotNull())
-        asked = looked.mapInArrow(candidates(sizes, level, length), "kind byte, key long, digest long, id long, pos long")
+        asked = looked.mapInArrow(candidates(sizes, level, length), "kind int, key long, digest int, id long, pos long")
         dealt = asked.repartition("key").sortWithinPartitions("key", "digest", "id")
-        places = stage(dealt.mapInArrow(later_ones if last else survivors, "id long, pos long"), f"windows{sizes[level]}")
+        before, places = places, stage(dealt.mapInArrow(later_ones if last else survivors, "id long, pos long, n long"), f"windows{sizes[level]}")
+        if before is not None:
+            unstage(before)
         if not last and places.isEmpty():
             break
     return with_places(rows, places).select("doc_id", "text", "found").mapInArrow(
