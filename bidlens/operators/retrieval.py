@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from difflib import SequenceMatcher
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from bidlens.functions import text as X
 from bidlens.functions.skew import hot_salted_join, salted_join
 from bidlens.functions.vectors import dot
 from bidlens.operators.analytics import numbered, top_per_group
+from bidlens.operators.wordlists import all_terms_score
 
 K1, B = 1.5, 0.75
 
@@ -80,51 +75,6 @@ def bm25_full_scores(query_terms: DataFrame, index: DataFrame, key: str, query:
 
 
 # ---- vectors -----------------------------------------------------------------------------
-def vector_topk(
-    queries: DataFrame, items: DataFrame, k: int, query_block: int = 1024, item_block: int = 8192,
-    query: str = "query",
-) -> DataFrame:
-    """Exact inner-product top-k of every query vector.
-
-    Queries and items are hashed into blocks of bounded size; one task multiplies one pair of
-    blocks and emits only its k best items per query, which are then merged. Neither side is
-    broadcast, so both may grow.
-    """
-    nq = max(1, math.ceil(queries.count() / query_block))
-    ni = max(1, math.ceil(items.count() / item_block))
-    blocks = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    q = queries.select(F.col(query).alias("q"), F.col("vector").alias("qv")).select(
-        "q", "qv", F.pmod(F.xxhash64("q"), F.lit(nq)).alias("qb"), F.explode(blocks(ni)).alias("ib")
-    )
-    i = items.select("item_id", "vector").select(
-        "item_id", "vector", F.explode(blocks(nq)).alias("qb"),
-        F.pmod(F.xxhash64("item_id"), F.lit(ni)).alias("ib"),
-    )
-    qtype = queries.schema[query].dataType.simpleString()
-
-    def best(qs: pd.DataFrame, its: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or its.empty:
-            return pd.DataFrame({"q": [], "item_id": [], "score": []})
-        its = its.sort_values("item_id")
-        ids = its["item_id"].to_numpy()
-        scores = np.stack(qs["qv"].to_numpy()) @ np.stack(its["vector"].to_numpy()).T
-        scores = np.floor(scores * 1e6 + 0.5) / 1e6
-        cut = min(k, len(ids))
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :cut]
-        return pd.DataFrame({
-            "q": np.repeat(qs["q"].to_numpy(), cut),
-            "item_id": ids[order].ravel(),
-            "score": np.take_along_axis(scores, order, axis=1).ravel(),
-        })
-
-    local = (
-        q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(best, f"q {qtype}, item_id long, score double")
-    )
-    return top_per_group(
-        local.withColumnRenamed("q", query), query, [F.desc("score"), "item_id"], k
-    ).select(query, "item_id", "score", "rn")
-
-
 def embed_texts(df: DataFrame, tokens: str, dims: int = 256) -> DataFrame:
     """Default encoder: hashed TF-IDF, unit length, as array<double> ``vector``."""
     from pyspark.ml import Pipeline
@@ -139,20 +89,6 @@ def embed_texts(df: DataFrame, tokens: str, dims: int = 256) -> DataFrame:
     return model.transform(df).withColumn("vector", vector_to_array("_unit")).drop("_tf", "_idf", "_unit")
 
 
-def encode_with(df: DataFrame, text: str, encoder, batch: int = 256) -> DataFrame:
-    """Apply a user's ``encoder(list[str]) -> 2-D array`` in Arrow batches and normalise."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(parts: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(parts), batch):
-            v = np.asarray(encoder(parts.iloc[at:at + batch].fillna("").tolist()), dtype="float64")
-            out.append(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))
-        return pd.Series(list(np.vstack(out)) if out else [])
-
-    return df.withColumn("vector", run(text))
-
-
 # ---- fusion ------------------------------------------------------------------------------
 def alpha_for(query_type: Column) -> Column:
     return F.when(query_type == "short", 0.8).when(query_type == "long", 0.3).otherwise(0.4)
@@ -210,13 +146,13 @@ def lexical_any_rank(terms: DataFrame, postings: DataFrame, query: str = "query"
 
 
 def lexical_all_terms(
-    terms: DataFrame, postings: DataFrame, limit: int = 10, query: str = "query", categories: DataFrame | None = None
+    terms: DataFrame, blocks: DataFrame, limit: int = 10, query: str = "query", categories: DataFrame | None = None
 ) -> DataFrame:
-    """Items containing all words of a query, best first, cut to the page pool.
+    """Items containing all words of a query, best first, cut to the page pool; ``blocks`` are kept word lists.
 
     ``categories(query, item_id)`` optionally restricts the items of a query.
     """
-    hits = lexical_any_rank(terms, postings, query).where("matched = n_terms")
+    hits = all_terms_score(terms, blocks, query)
     if categories is not None:
         hits = hits.join(categories, [query, "item_id"], "left_semi")
     best = numbered(hits, query, [F.desc("ts_score"), "item_id"])
@@ -226,15 +162,15 @@ def lexical_all_terms(
 
 
 def phrase_match(name: Column, query: Column) -> Column:
-    """Query words adjacent and in order inside the name."""
+    """Query words adjacent and in order inside the name, for pairs that are known already."""
     pad = lambda c: F.concat(F.lit(" "), X.normalize_text(c), F.lit(" "))
     return F.contains(pad(name), pad(query))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two short strings, in Arrow batches over the cut candidates."""
-    return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """How much of two short strings agrees: one minus edit distance over the longer length."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(longer > 0, 1 - F.levenshtein(F.lower(a), F.lower(b)) / longer).otherwise(1.0)
 
 
 def fallback_base_score(cands: DataFrame, group: str) -> DataFrame:
@@ -275,13 +211,13 @@ def core_word(terms: Column) -> Column:
     return F.array_min(at)["t"]
 
 
-def core_word_retry(queries: DataFrame, postings: DataFrame, limit: int = 10) -> DataFrame:
+def core_word_retry(queries: DataFrame, blocks: DataFrame, limit: int = 10) -> DataFrame:
     """Queries without a hit are retried with their longest word."""
-    first = lexical_all_terms(query_terms(queries), postings, limit)
+    first = lexical_all_terms(query_terms(queries), blocks, limit)
     missed = queries.select("query").distinct().join(first.select("query").distinct(), "query", "left_anti")
     words = X.words(F.col("query"))
     core = missed.where(F.size(words) > 1).select("query", core_word(words).alias("core"))
-    again = lexical_all_terms(query_terms(core.select("core"), "core"), postings, limit, "core")
+    again = lexical_all_terms(query_terms(core.select("core"), "core"), blocks, limit, "core")
     retried = core.join(again, "core").select("query", "item_id", "ts_score", "rn", F.lit(True).alias("retried"))
     return first.select("query", "item_id", "ts_score", "rn", F.lit(False).alias("retried")).unionByName(retried)
 
@@ -313,17 +249,6 @@ def category_browse(asked: DataFrame, catalog: DataFrame, limit: int = 10, offse
     )
 
 
-def suggest(asked: DataFrame, catalog: DataFrame, k: int = 8) -> DataFrame:
-    """First ``k`` distinct names, alphabetically, that contain a typed text of two letters or more."""
-    names = catalog.select("name").distinct()
-    listed = names.select("name", F.explode(X.short_substrings(F.lower("name"))).alias("g")).where(F.length("g") >= 2)
-    typed = asked.select(F.trim("text").alias("text")).distinct().where(F.length("text") >= 2)
-    hits = typed.withColumn("g", F.substring(F.lower("text"), 1, 3)).join(listed, "g").where(
-        F.contains(F.lower("name"), F.lower("text"))
-    )
-    return top_per_group(hits.select("text", "name"), "text", ["name"], k)
-
-
 def facets(catalog: DataFrame, top: int = 30) -> DataFrame:
     return (
         catalog.where("category is not null").groupBy("category").agg(F.count("*").alias("cnt"))

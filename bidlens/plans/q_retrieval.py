@@ -8,7 +8,9 @@ from bidlens.functions import text as X
 from bidlens.functions import vectors as V
 from bidlens.operators import blockmax as B
 from bidlens.operators import retrieval as R
+from bidlens.operators import suggesting
 from bidlens.operators import vectorcells as C
+from bidlens.operators import wordlists as L
 from bidlens.plans.q_text import STOP, words_sql
 from bidlens.plans.registry import query, shared
 from bidlens.session import cut_lineage, kept, work_path
@@ -64,8 +66,15 @@ def log_queries(t):
     return t.requests.select("query").distinct()
 
 
+def name_lists(t):
+    """Word lists of the names, built once for the catalogue."""
+    return kept(t.spark, "name_lists", f"{t.folder}/part.parquet", lambda: B.write_blocks(
+        L.word_blocks(t.catalog_base, "name"), f"name_lists_{uuid.uuid4().hex}", work_path(t.spark, "name_lists"),
+        int(t.spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def query_hits(t):
-    return R.lexical_all_terms(R.query_terms(log_queries(t)), name_postings(t))
+    return R.lexical_all_terms(R.query_terms(log_queries(t)), name_lists(t))
 
 
 shared("t_doc_postings", """
@@ -236,10 +245,9 @@ SELECT q.query, i.item_id, contains(' ' || lower(name) || ' ', ' ' || q.query ||
 FROM (SELECT query, item_id FROM t_query_terms JOIN t_item_terms USING (term) GROUP BY ALL) q JOIN t_items i USING (item_id)
 """)
 def phrase_match(t):
-    hits = R.lexical_any_rank(R.query_terms(log_queries(t)), name_postings(t))
-    return hits.join(t.catalog_base, "item_id").select(
-        "query", "item_id", R.phrase_match(F.col("name"), F.col("query")).alias("phrase")
-    )
+    hits = R.lexical_any_rank(R.query_terms(log_queries(t)), name_postings(t)).select("query", "item_id")
+    found = L.phrases(log_queries(t), name_lists(t)).select("query", "item_id", F.lit(True).alias("phrase"))
+    return hits.join(found, ["query", "item_id"], "left").withColumn("phrase", F.coalesce("phrase", F.lit(False)))
 
 
 def tri_list(c):
@@ -266,16 +274,26 @@ def lexical_features(t):
     return (
         hits.withColumn("ts_any", F.col("ts_score"))
         .withColumn("phrase", R.phrase_match(F.col("name"), F.col("query")))
-        .withColumn("ratio", R.sequence_ratio("name", "query"))
+        .withColumn("ratio", R.sequence_ratio(F.col("name"), F.col("query")))
     )
 
 
-@query("sequence_ratio")
+shared("t_ratio", """
+SELECT query, item_id, 1 - levenshtein(lower(name), query) / greatest(length(name), length(query)) AS ratio FROM t_query_hits JOIN t_items USING (item_id)
+""")
+
+
+@query("sequence_ratio", "SELECT query, item_id, round(ratio, 6) AS ratio FROM t_ratio")
 def sequence_ratio(t):
     return lexical_features(t).select("query", "item_id", F.round("ratio", 6).alias("ratio"))
 
 
-@query("fallback_base_score")
+@query("fallback_base_score", """
+WITH p AS (SELECT *, CAST(order_count AS DOUBLE) / greatest(max(order_count) OVER (PARTITION BY query), 1) AS pop FROM t_query_hits JOIN t_catalog USING (item_id))
+SELECT query, item_id, round(pop, 6) AS popularity_norm,
+  round(0.37 * ratio + 0.26 * ts_score + 0.12 * contains(' ' || lower(name) || ' ', ' ' || query || ' ')::INT + 0.18 * pop, 6) AS base_score
+FROM p JOIN t_ratio USING (query, item_id)
+""")
 def fallback_base_score(t):
     return R.fallback_base_score(lexical_features(t), "query").select("query", "item_id", "popularity_norm", "base_score")
 
@@ -329,7 +347,7 @@ WHERE rn <= CASE WHEN n >= 2 THEN 80 ELSE 30 END
 """)
 def core_word_retry(t):
     longer = t.catalog_base.select(F.lower(F.concat_ws(" ", "name", "category")).alias("query"))
-    return R.core_word_retry(log_queries(t).union(longer).distinct(), name_postings(t))
+    return R.core_word_retry(log_queries(t).union(longer).distinct(), name_lists(t))
 
 
 @query("category_browse", """
@@ -355,7 +373,7 @@ def suggest(t):
     asked = q.select(F.col("query").alias("text")).union(q.select(F.left("query", F.lit(2)))).union(
         q.select(F.substring("query", 2, 5))
     )
-    return R.suggest(asked, t.catalog_base)
+    return suggesting.suggest(asked, t.catalog_base)
 
 
 @query("facets", "SELECT category, count(*) AS cnt FROM t_items GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")

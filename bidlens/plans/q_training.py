@@ -7,8 +7,9 @@ from bidlens.operators import metrics as M
 from bidlens.operators import personal as P
 from bidlens.operators import retrieval as R
 from bidlens.operators import training as T
+from bidlens.operators import vectorcells as C
 from bidlens.operators.analytics import top_per_group
-from bidlens.plans.q_retrieval import name_index
+from bidlens.plans.q_retrieval import item_cells, name_index
 from bidlens.plans.registry import query, shared
 from bidlens.session import cut_lineage
 
@@ -73,7 +74,7 @@ def name_scores(t, asked):
 def cands(t, asked):
     bm25 = top_per_group(name_scores(t, asked), "query", [F.desc("score"), "item_id"], 100)
     vectors = t.item_vectors.join(asked.select(F.col("query_item").alias("item_id")).distinct(), "item_id", "left_semi")
-    near = R.vector_topk(vectors.select(F.col("item_id").alias("query_item"), "vector"), t.item_vectors, 100, query="query_item")
+    near = C.cell_topk(vectors.select(F.col("item_id").alias("query_item"), "vector", F.lit(100).alias("k")), item_cells(t), "query_item")
     return T.training_candidates(asked, bm25, near, t.facts)
 
 

@@ -11,6 +11,7 @@ from bidlens.operators import ranking as K
 from bidlens.operators import retrieval as R
 from bidlens.operators import sessions as S
 from bidlens.operators import training as T
+from bidlens.operators import vectorcells as C2
 from bidlens.sources import cleaning as C
 from bidlens.sources import files as S2
 
@@ -40,12 +41,12 @@ def test_bm25_keeps_ties_and_matches_formula(spark):
     assert top == {2, 3, 4} or full[4] < full[2]
 
 
-def test_vector_topk_in_many_blocks(spark):
+def test_vector_topk_in_many_cells(spark):
     random.seed(1)
     vec = {i: [random.uniform(-1, 1) for _ in range(4)] for i in range(40)}
     items = spark.createDataFrame(list(vec.items()), "item_id long, vector array<double>")
     queries = items.withColumnRenamed("item_id", "query")
-    got = R.vector_topk(queries, items, 3, query_block=7, item_block=9).collect()
+    got = C2.cell_topk(queries.withColumn("k", F.lit(3)), C2.build_cells(items, per_cell=5)).collect()
     for q in vec:
         order = sorted(vec, key=lambda i: (-round(sum(a * b for a, b in zip(vec[q], vec[i])), 6), i))[:3]
         assert [r.item_id for r in sorted((r for r in got if r.query == q), key=lambda r: r.rn)] == order

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from bidlens.operators import blockmax as B
 from bidlens.operators import metrics as M
 from bidlens.operators import retrieval as R
+from bidlens.operators import suggesting
 from bidlens.operators import vectorcells as C
+from bidlens.operators import wordlists as L
 from bidlens.session import kept, work_path
 
 
@@ -91,3 +93,58 @@ def test_rates_of_a_variant_without_events(spark):
     events = spark.createDataFrame([("click", "personalised"), ("view", "personalised")], "event_type string, variant string")
     row = M.ctr_bounce_delta(events).first()
     assert (row.click_personalised, row.click_baseline, row.ctr_delta) == (0.5, None, None)
+
+
+def names(spark):
+    rng = random.Random(7)
+    words = ["red", "Steel", "bolt", "pipe", "long", "x"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 7)))) for i in range(300)] + [(900, "Red, red bolt"), (901, ""), (902, None)]
+    return rows, spark.createDataFrame(rows, "item_id long, name string").repartition(3)
+
+
+def test_items_with_all_words_and_phrases_from_word_lists(spark):
+    rows, df = names(spark)
+    blocks = B.write_blocks(L.word_blocks(df, "name", 16), f"words_{uuid.uuid4().hex}", work_path(spark, "words"), 4)
+    asked = ["red bolt", "bolt red", "long", "steel steel pipe", "red missing", "x x", "pipe long x"]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    split = {i: (n or "").lower().replace(",", " ").split() for i, n in rows}
+    found = L.phrases(queries, blocks)
+    got = {(r.query, r.item_id): sorted(r.starts) for r in found.collect()}
+    want = {}
+    for q in asked:
+        w = q.split()
+        for i, ws in split.items():
+            at = [k for k in range(len(ws) - len(w) + 1) if ws[k: k + len(w)] == w]
+            if at:
+                want[q, i] = at
+    assert got == want and len(want) > 60
+    terms = R.query_terms(queries)
+    hits = {(r.query, r.item_id): (r.n_terms, r.ts_score) for r in L.all_terms_score(terms, blocks).collect()}
+    want = {}
+    for q in asked:
+        w = {t for t in q.split() if len(t) > 1}
+        for i, ws in split.items():
+            if w and w <= set(ws):
+                want[q, i] = len(w), round(sum(1 - 1 / (1 + ws.count(t)) for t in w) / len(w), 6)
+    assert {k: v[0] for k, v in hits.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(hits[k][1] - want[k][1]) < 2e-6 for k in want)
+    plan = found._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
+    rare = L.rarest_first(terms.select("query", "term", F.lit(0).alias("slot")), blocks, "query").where("place = 1 and query = 'pipe long x'").first()
+    df_of = {t: sum(t in ws for ws in split.values()) for t in ("pipe", "long")}
+    assert rare.term == min(df_of, key=lambda t: (df_of[t], t))
+    assert L.all_words(terms.select("query", "term", F.lit(0).alias("slot")), blocks.limit(0)).collect() == []
+
+
+def test_suggestions_from_suffix_intervals(spark, monkeypatch):
+    rows, df = names(spark)
+    monkeypatch.setattr(suggesting, "PART", 40)  # frequent beginnings in many parts
+    typed = ["re", "red", " RED b", "ed", "steel pipe", "x", "zz", "ol", "olt", "d r", "Red, red bolt", "", None, "t long p"]
+    asked = spark.createDataFrame([(t,) for t in typed], "text string")
+    got = {}
+    for r in suggesting.suggest(asked, df, 4).orderBy("rn").collect():
+        got.setdefault(r.text, []).append(r.name)
+    every = sorted({n for _, n in rows if n})
+    want = {t.strip(): [n for n in every if t.strip().lower() in n.lower()][:4] for t in typed if t and len(t.strip()) > 1}
+    assert got == {t: n for t, n in want.items() if n} and len(got) > 8
+    assert suggesting.suggest(asked.limit(0), df).collect() == [] == suggesting.suggest(asked, df.limit(0)).collect()
