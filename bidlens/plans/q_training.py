@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from bidlens.functions import dicts
+from bidlens.operators import boosting as G
 from bidlens.operators import metrics as M
+from bidlens.operators import neural as N
 from bidlens.operators import personal as P
 from bidlens.operators import retrieval as R
 from bidlens.operators import training as T
@@ -142,29 +144,34 @@ def split_pairs(t):
 @query("tree_score")
 def tree_score(t):
     train, valid = split_pairs(t)
-    return T.tree_score(T.train_tree_ranker(train), valid).select("group_id", "item_id", F.round("model_score", 6).alias("model_score"))
+    model = G.fit_lambda_trees(train)
+    return valid.select("group_id", "item_id", F.round(G.trees_score(model), 6).alias("model_score"))
 
 
 @query("pairwise_score")
 def pairwise_score(t):
     train, valid = split_pairs(t)
-    out = T.pairwise_score(T.train_pairwise_ranker(train), valid)
-    return out.select("group_id", "item_id", F.round("model_score", 6).alias("model_score"))
+    return valid.select("group_id", "item_id", F.round(N.net_score(N.fit_net(train)), 6).alias("model_score"))
 
 
 @query("train_ranker")
 def train_ranker(t):
-    """Validation NDCG@10 of the tree and the pairwise ranker, and the tree's importances."""
+    """Validation NDCG@10 of the trees and the net, and each feature's share of the trees' gain."""
     train, valid = split_pairs(t)
-    model = T.train_tree_ranker(train)
-    runs = T.as_judged(T.tree_score(model, valid), "tree").unionByName(
-        T.as_judged(T.pairwise_score(T.train_pairwise_ranker(train), valid), "pairwise")
+    model = G.fit_lambda_trees(train)
+    runs = T.as_judged(valid.withColumn("model_score", G.trees_score(model)), "tree").unionByName(
+        T.as_judged(valid.withColumn("model_score", N.net_score(N.fit_net(train))), "pairwise")
     )
     quality = M.mean_over_queries(M.ndcg_exp(runs), "ndcg", "value").select(
         F.concat(F.lit("ndcg_10_"), "run").alias("name"), "value"
     )
-    importances = t.dim(
-        [(f"importance_{f}", round(float(v), 6)) for f, v in zip(dicts.FEATURES, model.featureImportances.toArray())],
-        "name string, value double",
-    )
-    return quality.unionByName(importances)
+    shares = t.dim([(f"importance_{f}", round(float(v), 6)) for f, v in G.importances(model)], "name string, value double")
+    return quality.unionByName(shares)
+
+
+@query("tree_contributions")
+def tree_contributions(t):
+    """The three largest Shapley values of every validation row under the tree ranker."""
+    train, valid = split_pairs(t)
+    out = G.top_shapley(G.fit_lambda_trees(train), valid, ["group_id", "item_id"])
+    return out.withColumn("value", F.round("value", 6))
