@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from bidlens.functions import dicts
 from bidlens.session import cut_lineage
 
+HEAD = 30  # rows of a list's top that all others are compared with
 NODES = "tree int, node int, feature int, threshold double, left int, right int, value double, cover long, gain double"
 
 
@@ -51,18 +52,24 @@ def bin_of(value: Column, cuts: list[float]) -> Column:
 def lambdas(group: pd.DataFrame) -> pd.DataFrame:
     """First and second derivatives of the pairwise loss, each pair weighted by the NDCG that swapping it would change.
 
-    A group is one result list, bounded by its candidate pool.
+    A group is one result list, bounded by its candidate pool; pairs have one of the first ``HEAD`` rows at least, as only
+    those move the metric.
     """
     group = group.sort_values(["score", "item_id"], ascending=[False, True])
     gain = np.power(2.0, group["relevance"].to_numpy(float)) - 1
     discount = 1 / np.log2(np.arange(len(gain)) + 2)
     ideal = (np.sort(gain)[::-1] * discount).sum()
     s = group["score"].to_numpy(float)
-    better = gain[:, None] > gain[None, :]
-    swing = np.abs(gain[:, None] - gain[None, :]) * np.abs(discount[:, None] - discount[None, :]) / max(ideal, 1e-12)
-    rho = np.where(better, 1 / (1 + np.exp(np.clip(s[:, None] - s[None, :], -50, 50))), 0.0)
-    first, second = rho * swing, rho * (1 - rho) * swing
-    return group.assign(g=first.sum(axis=1) - first.sum(axis=0), h=second.sum(axis=1) + second.sum(axis=0))
+    top = min(HEAD, len(s))
+    sign = np.sign(gain[:top, None] - gain[None, :])
+    sign[:, :top] = np.triu(sign[:, :top], 1)  # two rows of the head meet once
+    swing = np.abs(gain[:top, None] - gain[None, :]) * np.abs(discount[:top, None] - discount[None, :]) / max(ideal, 1e-12)
+    rho = 1 / (1 + np.exp(np.clip(sign * (s[:top, None] - s[None, :]), -50, 50)))
+    first, second = sign * rho * swing, np.abs(sign) * rho * (1 - rho) * swing
+    g, h = -first.sum(axis=0), second.sum(axis=0)
+    g[:top] += first.sum(axis=1)
+    h[:top] += second.sum(axis=1)
+    return group.assign(g=g, h=h)
 
 
 def walk(nodes: list[TreeNode], test, leaf) -> Column:
@@ -76,6 +83,36 @@ def walk(nodes: list[TreeNode], test, leaf) -> Column:
     return at(0)
 
 
+def histograms(grown: list[TreeNode], cut_bin: dict[int, int], open_: list[int], bins: int):
+    """Per task: sums of g, h and rows by open node, feature and bin."""
+
+    def batches(source):
+        slot = {k: i for i, k in enumerate(open_)}
+        sums = np.zeros((3, len(open_) * len(dicts.FEATURES) * bins))
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            x = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, -1)
+            node = np.zeros(len(x), np.int64)
+            for n in grown:  # parents come before their children
+                if n.feature >= 0:
+                    here = node == n.node
+                    node[here] = np.where(x[here, n.feature] <= cut_bin[n.node], n.left, n.right)
+            place = np.full(len(grown), -1)
+            place[open_] = range(len(open_))
+            mine = place[node]
+            use = mine >= 0
+            at = ((mine[use, None] * x.shape[1] + np.arange(x.shape[1])) * bins + x[use]).ravel()
+            for k, w in enumerate((batch.column("g").to_numpy()[use], batch.column("h").to_numpy()[use], np.ones(int(use.sum())))):
+                sums[k] += np.bincount(at, weights=np.repeat(w, x.shape[1]), minlength=sums.shape[1])
+        at = np.flatnonzero(sums[2])
+        node, feature, place = np.unravel_index(at, (len(slot), len(dicts.FEATURES), bins))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.array(open_)[node]), pa.array(feature), pa.array(place), *[pa.array(s[at]) for s in sums]], names=["node", "feature", "bin", "g", "h", "n"])
+
+    return batches
+
+
 def best_splits(histogram: pd.DataFrame, cuts: list[list[float]], l2: float, least: int) -> dict[int, tuple]:
     """(gain, feature, bin, totals) of each node's best split; histogram: node, feature, bin, g, h, n."""
     out = {}
@@ -110,9 +147,9 @@ def fit_lambda_trees(
         grown, open_ = [TreeNode(t, 0)], [0]
         cut_bin: dict[int, int] = {}
         for level in range(depth + 1):
-            at = walk(grown, lambda n: F.col("bins")[n.feature] <= cut_bin[n.node], lambda n: F.lit(n.node)).alias("node")
-            seen = rows.select(at, F.posexplode("bins").alias("feature", "bin"), "g", "h").where(F.col("node").isin(open_))
-            histogram = seen.groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count("*").alias("n")).toPandas()
+            seen = rows.select("bins", "g", "h").mapInArrow(
+                histograms(grown, cut_bin, open_, bins), "node long, feature long, bin long, g double, h double, n double")
+            histogram = seen.groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in "ghn"]).toPandas()
             found, after = best_splits(histogram, cuts, l2, least), []
             for k in open_:
                 gain, feature, at_bin, g, h, n = found[k]
