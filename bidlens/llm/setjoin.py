@@ -10,20 +10,22 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidlens.llm.mixing import same
-from bidlens.llm.tables import stage, unclashed
+from bidlens.llm.tables import stage, unclashed, unstage
 from bidlens.llm.wordhash import mix, shingles, words
 
-SPARE = 12  # parts beyond the pigeonhole's need: linked sets share more parts than that
+SPARE = 12  # parts beyond the pigeonhole's need, at least; linked sets share more parts than the spare ones
+SHARE = 0.25  # spare parts per part that two linked sets may differ in
 RATIO = 1.6  # largest over smallest size of a band
 LIST_COST = 3  # cost of a list entry (it must be verified with whole sets) against a subset entry
 SKETCH = 5, 16  # a sketch has about one counter per two elements, 2**5 to 2**16
+CROWDED = 0.9  # share of the lists that a partner shares at least, less one, which may be left out as too crowded
+TOGETHER = 1 << 18  # pairs that leave a task together
 FOLD = 128  # counters of the short sketch that the first looks use
-SEEN = 32  # of a class's smallest keys that tell whether a pair has met before
-COARSE = (8, 1)  # rounds of linking: with every 8th list, with all
+ROUNDS = (8, 1, 1)  # of linking members to the centres of their lists: with every so many lists
 
 
 @dataclass(frozen=True)
@@ -64,8 +66,11 @@ def band_of(n: int) -> tuple[int, int]:
     return k, high
 
 
-def parts_of(plan: Plan, high: int) -> int:
-    return plan.distance(2 * high) + 1 + SPARE
+def parts_of(plan: Plan, high: int) -> tuple[int, int]:
+    """Number of parts, and how many of them are spare: it grows with the set, so that chance meetings fall behind."""
+    apart = plan.distance(2 * high)
+    spare = max(SPARE, int(apart * SHARE))
+    return apart + 1 + spare, spare
 
 
 @lru_cache(1000)
@@ -76,7 +81,7 @@ def boundary(plan: Plan) -> int:
         m = n + 1
         subsets = sum(comb(m, d) for d in range(deletions(plan, m, 1 << 30) + 1))
         bands = {band_of(m)[1], band_of(plan.largest(m))[1]}
-        if subsets > LIST_COST * sum(parts_of(plan, h) for h in bands):
+        if subsets > LIST_COST * sum(parts_of(plan, h)[0] for h in bands):
             return n
         n = m
 
@@ -94,18 +99,18 @@ def subset_keys(tokens: np.ndarray, most_deleted: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def list_keys(tokens: np.ndarray, band: int, m: int) -> np.ndarray:
+def list_keys(tokens: np.ndarray, band: int, m: int, spare: int) -> np.ndarray:
     """Keys of the inverted lists of a set in one band: one per part of the token space, for the tokens in it.
 
-    Two linked sets differ in fewer than m - SPARE parts, so they share more than SPARE equal parts. A set with e empty
-    parts, at most SPARE, shares SPARE + 1 - e filled ones with every partner; only sets with more list empty parts too.
+    Two linked sets differ in fewer than m - spare parts, so they share more than ``spare`` equal parts. A set with e empty
+    parts, at most that many, shares spare + 1 - e filled ones with every partner; only sets with more list empty parts too.
     """
     cuts = (np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
     at = np.concatenate(([0], np.searchsorted(tokens, cuts), [len(tokens)]))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ np.uint64(0x5A5A5A5A5A5A5A5A)), dtype=np.uint64)))
     keys = mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(band * 1_000_003 + 7)))
     filled = at[1:] > at[:-1]
-    return keys if m - int(filled.sum()) > SPARE else keys[filled]
+    return keys if m - int(filled.sum()) > spare else keys[filled]
 
 
 def keys_of(plan: Plan, tokens: np.ndarray) -> tuple[np.ndarray, int]:
@@ -115,25 +120,25 @@ def keys_of(plan: Plan, tokens: np.ndarray) -> tuple[np.ndarray, int]:
     have a partner beyond the boundary enters lists as well.
     """
     n, x = len(tokens), boundary(plan)
-    out, least = [], SPARE + 1
+    out, least = [], 1 << 30
     if n <= x:
         out.append(subset_keys(tokens, deletions(plan, n, x)))
         least = 1
     bands = {band_of(t) for t in (max(n, x + 1), plan.largest(n)) if t > x and t >= n}
     if plan.largest(n) > x:
         for k, high in sorted(bands):
-            m = parts_of(plan, high)
-            keys = list_keys(tokens, k, m)
+            m, spare = parts_of(plan, high)
+            keys = list_keys(tokens, k, m, spare)
             out.append(keys)
-            least = min(least, max(1, SPARE + 1 - (m - len(keys)) if len(keys) < m else _filled_need(tokens, m)))
-    return (np.concatenate(out) if out else np.empty(0, np.uint64)), least
+            least = min(least, max(1, spare + 1 - (m - len(keys)) if len(keys) < m else _filled_need(tokens, m, spare)))
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), min(least, len(tokens) + 1)
 
 
-def _filled_need(tokens: np.ndarray, m: int) -> int:
-    """Shared parts of a set that lists all its parts: SPARE + 1, or 1 if some of these may be empty ones."""
+def _filled_need(tokens: np.ndarray, m: int, spare: int) -> int:
+    """Shared parts of a set that lists all its parts: spare + 1, or 1 if some of these may be empty ones."""
     cuts = np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)
     at = np.concatenate(([0], np.searchsorted(tokens, cuts), [len(tokens)]))
-    return SPARE + 1 if (at[1:] > at[:-1]).all() else 1
+    return spare + 1 if (at[1:] > at[:-1]).all() else 1
 
 
 def sketch_of(tokens: np.ndarray) -> bytes:
@@ -300,37 +305,46 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             "cls", F.coalesce("onto", "comp").alias("comp")), "components")
 
 
-def center_pairs(lists: DataFrame, comps: DataFrame, every: int) -> DataFrame:
-    """For a share of the lists: pairs of each list's own centre with members of other components."""
+def center_pairs(lists: DataFrame, comps: DataFrame, every: int, turn: int) -> DataFrame:
+    """For a share of the lists: pairs of each list's own centre (another one each turn) with members of other components."""
     some = lists if every == 1 else lists.where(F.pmod("key", F.lit(every)) == 0)
     now = some.join(comps, "cls")
     centers = now.groupBy("key").agg(
-        F.min_by(F.struct("cls", "comp"), F.xxhash64("key", "cls")).alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most")
+        F.min_by(F.struct("cls", "comp"), F.xxhash64(F.lit(turn), "key", "cls")).alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most")
     ).where(F.col("least") != F.col("most")).select("key", F.col("c.cls").alias("a"), F.col("c.comp").alias("ca"))
     return now.join(centers, "key").where(F.col("comp") != F.col("ca")).select(
         F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")
     ).distinct()
 
 
+def left_out(least: Column) -> Column:
+    """How many of its most crowded lists a class leaves out; of the ``least`` lists that a partner shares the others remain."""
+    return F.floor((least - 1) * CROWDED).cast("int")
+
+
 def rarer_lists(now: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows of ``now`` (cls, key, comp, many) without each class's ``least`` - 1 most crowded lists.
+    """Rows of ``now`` (cls, key, comp, many) without each class's most crowded lists, and ``need``.
 
-    Two linked classes share ``least`` lists at least. In one order of all lists, the least crowded one that they share
-    comes after so many others that neither of them leaves it out.
+    Two linked classes share ``least`` lists at least. In one order of all lists, what either of them leaves out of these
+    are the most crowded ones, ``left_out`` at most; so they meet in ``need`` of the lists that remain.
     """
     crowded = Window.partitionBy("cls").orderBy(F.desc("many"), "key")
     return now.join(classes.select("cls", "least"), "cls").withColumn("place", F.row_number().over(crowded)).where(
-        F.col("place") >= F.col("least")
-    ).select("cls", "key", "comp")
+        F.col("place") > left_out(F.col("least"))
+    ).select("cls", "key", "comp", (F.col("least") - left_out(F.col("least"))).alias("need"))
+
+
+def _met(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "need"])
 
 
 def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """All pairs of a list's members in different components whose sizes and sketches allow a link.
+    """All pairs of members in different components that meet in as many lists as linked ones do, with sizes and sketches
+    that allow a link.
 
     Only lists that ``rarer_lists`` leaves are read. Members of one list meet in blocks: each member is sent to the
     blocks of its list that it must meet, so that a long list spreads over tasks. Within a block the sketches are
-    compared in numpy and only possible links come out, and of those only pairs that do not meet in a list with a
-    smaller key as well, as far as the SEEN smallest keys of both show; a pair's smallest shared key always yields it.
+    compared in numpy and only possible links come out, once per list; then each pair's lists are counted.
     """
     def mixed(rows):
         return rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where(
@@ -338,27 +352,26 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
 
     now = lists.join(comps, "cls")
     kept = stage(rarer_lists(now.join(mixed(now), "key"), classes), "rarer")
-    kept = stage(kept.join(mixed(kept), "key"), "mixed")
-    seen = kept.groupBy("cls").agg(F.slice(F.array_sort(F.collect_list("key")), 1, SEEN).alias("seen"))
-    rows = kept.join(classes.select("cls", "n", "short").join(seen, "cls"), "cls").withColumn(
+    rows = kept.join(mixed(kept), "key").join(classes.select("cls", "n", "short"), "cls").withColumn(
         "blocks", F.ceil(F.col("many") / 512).cast("int")
     ).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     meet = rows.select(
-        "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "short", "seen"
+        "key", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "cls", "comp", "n", "need", "short"
     )
 
-    def compared(p, q, mine, ids, comp, n, sketch, before):
+    def compared(p, q, mine, ids, comp, n, need, sketch):
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
         for i in left:
             other = right[(comp[right] != comp[i]) & (ids[right] > ids[i] if p == q else True)]
             total, least, most = n[other] + n[i], np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-            other = other[plan.den * least >= plan.num * most]
-            apart = np.abs(sketch[other] - sketch[i]).sum(axis=1)
-            fits = other[apart * (plan.num + plan.den) <= (plan.den - plan.num) * (n[other] + n[i])]
-            fits = fits[[before[i].isdisjoint(before[k]) for k in fits]] if len(fits) else fits
-            yield np.minimum(ids[fits], ids[i]), np.maximum(ids[fits], ids[i])
+            fits = plan.den * least >= plan.num * most
+            other, total = other[fits], total[fits]
+            if len(other):
+                apart = np.abs(sketch[other] - sketch[i]).sum(axis=1)
+                other = other[apart * (plan.num + plan.den) <= (plan.den - plan.num) * total]
+                yield np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i]), np.maximum(need[other], need[i])
 
     def streamed(source):
         rest = None  # rows of the last group so far, a block pair of one list
@@ -366,23 +379,27 @@ def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Pla
             table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
-            key, p, q, mine, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "p", "q", "mine", "cls", "comp", "n"))
+            key, p, q, mine, ids, comp, n, need = (table.column(c).to_numpy() for c in ("key", "p", "q", "mine", "cls", "comp", "n", "need"))
             head = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1]))))
             ends = np.append(head[1:], len(key))
             if batch is not None:
                 rest, head, ends = table.slice(int(head[-1])), head[:-1], ends[:-1]
             if not len(head):
                 continue
-            sketches, seen = table.column("short").to_pylist(), table.column("seen").to_pylist()
-            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sketches, found, held = table.column("short").to_pylist(), [], 0
             for i, j in zip(head, ends):
-                before = [{k for k in keys if k < key[i]} for keys in seen[i:j]]
-                for x, y in compared(p[i], q[i], mine[i:j], ids[i:j], comp[i:j], n[i:j], clipped(folded(sketches[i:j])), before):
-                    a.append(x)
-                    b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                if n[i:j].min() * plan.den >= n[i:j].max() * plan.num or j - i > 2:
+                    for pairs in compared(p[i], q[i], mine[i:j], ids[i:j], comp[i:j], n[i:j], need[i:j], clipped(folded(sketches[i:j]))):
+                        found.append(pairs)
+                        held += len(pairs[0])
+                if held > TOGETHER:
+                    yield _met(found)
+                    found, held = [], 0
+            if found:
+                yield _met(found)
 
-    return meet.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(streamed, "a long, b long").distinct()
+    found = meet.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(streamed, "a long, b long, need int")
+    return found.groupBy("a", "b").agg(F.count("*").alias("lists"), F.max("need").alias("need")).where("lists >= need").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, size: int = 3) -> DataFrame:
@@ -419,12 +436,16 @@ def labelled(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
     entries = filled.select("doc_id", "th", "cls", "keys").join(reps, same(("cls", "_c"), ("doc_id", "_f"), ("th", "_t"))).select(
         "cls", F.explode("keys").alias("key")
     )
-    lists = stage(dense_lists(stage(shared_lists(entries), "lists"), firsts), "lists")
+    shared = stage(shared_lists(entries), "shared")
+    known = stage(facts.select("doc_id", "th", "n", "cls"), "known")
+    unstage(facts)  # its keys take more room than all that follows
+    lists = stage(dense_lists(shared, firsts), "lists")
+    unstage(shared)
     used = lists.select("cls").distinct()
     classes = stage(firsts.join(used, "cls", "left_semi"), "used")
     comps = classes.select("cls", F.col("cls").alias("comp"))
-    for every in COARSE:
-        near = stage(near_pairs(plan, center_pairs(lists, comps, every), classes), "pairs")
+    for turn, every in enumerate(ROUNDS):
+        near = stage(near_pairs(plan, center_pairs(lists, comps, every, turn), classes), "pairs")
         comps = components(comps, stage(linked_pairs(plan, near, classes, slim), "links"))
     rest = stage(near_pairs(plan, rest_pairs(lists, comps, classes, plan), classes, ("sketch",)), "pairs")
     comps = components(comps, stage(linked_pairs(plan, rest, classes, slim), "links"))
@@ -433,7 +454,7 @@ def labelled(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
     everyone = firsts.join(labels, F.col("cls") == F.col("_c"), "left").select(
         F.col("cls").alias("_k"), F.coalesce("smallest", "first").alias("component_id"), F.coalesce("comp", "cls").alias("comp")
     )
-    return facts.join(everyone, F.when(F.col("n") > 0, F.col("cls")) == F.col("_k"), "left").select(
+    return known.join(everyone, F.when(F.col("n") > 0, F.col("cls")) == F.col("_k"), "left").select(
         "doc_id", "th", "n", "component_id", "comp"
     )
 
