@@ -49,17 +49,18 @@ def bin_of(value: Column, cuts: list[float]) -> Column:
     return F.size(F.filter(F.lit(cuts), lambda t: t < value)) if cuts else F.lit(0)
 
 
-def lambdas(group: pd.DataFrame) -> pd.DataFrame:
+def lambdas(group: pa.Table) -> pa.Table:
     """First and second derivatives of the pairwise loss, each pair weighted by the NDCG that swapping it would change.
 
     A group is one result list, bounded by its candidate pool; pairs have one of the first ``HEAD`` rows at least, as only
     those move the metric.
     """
-    group = group.sort_values(["score", "item_id"], ascending=[False, True])
-    gain = np.power(2.0, group["relevance"].to_numpy(float)) - 1
+    scores = group.column("score").to_numpy()
+    order = np.lexsort((group.column("item_id").to_numpy(), -scores))
+    gain = np.power(2.0, group.column("relevance").to_numpy()[order].astype(float)) - 1
     discount = 1 / np.log2(np.arange(len(gain)) + 2)
     ideal = (np.sort(gain)[::-1] * discount).sum()
-    s = group["score"].to_numpy(float)
+    s = scores[order]
     top = min(HEAD, len(s))
     sign = np.sign(gain[:top, None] - gain[None, :])
     sign[:, :top] = np.triu(sign[:, :top], 1)  # two rows of the head meet once
@@ -69,7 +70,8 @@ def lambdas(group: pd.DataFrame) -> pd.DataFrame:
     g, h = -first.sum(axis=0), second.sum(axis=0)
     g[:top] += first.sum(axis=1)
     h[:top] += second.sum(axis=1)
-    return group.assign(g=g, h=h)
+    back = np.argsort(order)
+    return group.append_column("g", pa.array(g[back])).append_column("h", pa.array(h[back]))
 
 
 def walk(nodes: list[TreeNode], test, leaf) -> Column:
@@ -143,7 +145,7 @@ def fit_lambda_trees(
     schema = f"{state._jdf.schema().toDDL()}, g double, h double"
     model: list[TreeNode] = []
     for t in range(trees):
-        rows = cut_lineage(state.groupBy("group_id").applyInPandas(lambdas, schema), "lambdas")
+        rows = cut_lineage(state.groupBy("group_id").applyInArrow(lambdas, schema), "lambdas")
         grown, open_ = [TreeNode(t, 0)], [0]
         cut_bin: dict[int, int] = {}
         for level in range(depth + 1):
