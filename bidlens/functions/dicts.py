@@ -31,7 +31,7 @@ BOILERPLATE = [
 ]
 
 # --- fixed values: units whose leading number is dropped ----------------------------------
-UNITS = ["кг", "мг", "мл", "мм", "см", "км", "шт", "уп", "рул", "пач", "г", "л", "м", "т"]
+UNITS = ["кг", "г", "мг", "л", "мл", "шт", "уп", "рул", "пач", "м", "мм", "см", "км", "т"]
 
 # --- fixed values: Latin to Cyrillic letters, longest first -------------------------------
 TRANSLIT_LETTERS = [

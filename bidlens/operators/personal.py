@@ -411,6 +411,7 @@ def profile_rerank(
         - F.when(flag("is_negative"), BOOST * NEGATIVE).otherwise(0.0)
     )
     pct = F.floor(F.col("weight") * 100 + 1e-9).cast("int")
+    # fixed values: texts of the reasons
     reasons = F.array_compact(F.array(
         F.when(
             F.col("weight").isNotNull(),

@@ -65,6 +65,7 @@ def minmax_norm(df: DataFrame, score: str, out: str, group: str = "request_id")
 def _token_bonus(name: Column, words: Column, token: Column) -> Column:
     near = lambda w: (w == token) | (F.startswith(w, token) & (F.length(w) <= F.length(token) + 2))
     first = words[0]
+    # fixed values: bonus by place of the word
     return (
         F.when((token == "") | (name == ""), 0.0)
         .when(F.startswith(name, F.concat(token, F.lit(" "))) | (name == token), 1.0)

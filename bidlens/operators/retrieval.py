@@ -12,7 +12,7 @@ from bidlens.functions.vectors import dot
 from bidlens.operators.analytics import numbered, top_per_group
 from bidlens.operators.wordlists import all_terms_score
 
-K1, B = 1.5, 0.75
+K1, B = 1.5, 0.75  # fixed values: saturation and length weight of BM25
 
 
 # ---- BM25 --------------------------------------------------------------------------------

@@ -119,6 +119,7 @@ def session_change_reason(counters: DataFrame) -> DataFrame:
         F.count_if(F.col("sign") == "boosted").alias("boosted"),
         F.count_if(F.col("sign") == "penalized").alias("penalized"),
     )
+    # fixed values: texts of the message
     part = lambda c, text: F.when(F.col(c) > 0, F.format_string(text, c))
     return n.withColumn(
         "reason",

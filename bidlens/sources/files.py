@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidlens.sources import cleaning as C
 
+# fixed values: column names of the two deliveries
 CATALOG_COLS = ["ste_id", "name", "category", "attributes"]
 CONTRACT_COLS = [
     "purchase_name", "contract_id", "ste_id", "contract_date", "contract_cost", "customer_inn", "customer_name",
