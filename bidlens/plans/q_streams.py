@@ -11,9 +11,13 @@ from bidlens.sources.files import event_source
 from bidlens.streaming import events as E
 
 
-def stream(t):
+def arriving(t):
     raw = event_source(t.spark, t.folder, t.raw("events").schema, "events.parquet")
-    return validated_events(shape_events(raw, t.catalog_base))[0]
+    return shape_events(raw, t.catalog_base)
+
+
+def stream(t):
+    return validated_events(arriving(t))[0]
 
 
 CLOSED = "ended_at + INTERVAL 1 HOUR <= (SELECT now_ts FROM t_event_now) - INTERVAL 1 HOUR"
@@ -21,7 +25,7 @@ CLOSED = "ended_at + INTERVAL 1 HOUR <= (SELECT now_ts FROM t_event_now) - INTER
 
 @query("event_source", "SELECT event_id, user_id, item_id, event_type, session_id, category FROM t_events")
 def read_events(t):
-    path = E.run_available(stream(t), "append", "events")
+    path, _ = E.run_validated(arriving(t), "events")
     return E.read_slices(t.spark, path).select("event_id", "user_id", "item_id", "event_type", "session_id", "category")
 
 

@@ -257,7 +257,7 @@ def shape_events(events: DataFrame, catalog: DataFrame) -> DataFrame:
         kind.alias("event_type"),
         F.concat_ws("-", "user_id", F.date_format("ts", "yyyyMMdd")).alias("session_id"),
     )
-    joined = shaped.join(catalog.select("item_id", "name", "category"), "item_id")
+    joined = shaped.join(catalog.select("item_id", "name", "category"), "item_id", "left")  # unknown items stay, without name
     form = F.col("event_id") % 5
     query = (
         F.when(form == 0, F.lit(None).cast("string"))

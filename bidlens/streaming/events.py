@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bidlens.operators import sessions as S
 from bidlens.session import work_path
+from bidlens.sources.cleaning import validated_events
 from bidlens.streaming.stateful import Bounces, Touches, Votes
 
 LATENESS = 3600  # seconds
@@ -166,13 +167,16 @@ def bounce_detection(events: DataFrame, seconds: float = 4.0) -> DataFrame:
 
 
 # ---- running -----------------------------------------------------------------------------
-def run_available(stream: DataFrame, mode: str, label: str, shape=None) -> str:
-    """Process everything that is available; returns the folder of micro-batch slices."""
+def run_available(stream: DataFrame, mode: str, label: str, shape=None, numbered=None) -> str:
+    """Process everything that is available; returns the folder of micro-batch slices.
+
+    ``shape(batch)`` or ``numbered(batch, number)`` say what of a batch is written.
+    """
     spark = stream.sparkSession
     path = work_path(spark, label)
 
     def save(batch: DataFrame, number: int) -> None:
-        out = shape(batch) if shape else batch
+        out = numbered(batch, number) if numbered else shape(batch) if shape else batch
         out.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     before = spark.conf.get(STORE, None)
@@ -192,6 +196,19 @@ def run_available(stream: DataFrame, mode: str, label: str, shape=None) -> str:
     return path
 
 
+def run_validated(stream: DataFrame, label: str) -> tuple[str, str]:
+    """Process what is available into two tables of slices: valid events, and the quarantined rest."""
+    spark = stream.sparkSession
+    aside = work_path(spark, f"{label}-quarantine")
+
+    def valid(batch: DataFrame, number: int) -> DataFrame:
+        ok, rest = validated_events(batch)
+        rest.write.mode("overwrite").parquet(f"{aside}/batch={number}")
+        return ok
+
+    return run_available(stream, "append", label, numbered=valid), aside
+
+
 def read_slices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

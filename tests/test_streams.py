@@ -181,3 +181,11 @@ def test_bounces_equal_batch_with_rows_one_batch_late(spark, tmp_path):
     base = folder(spark, tmp_path / "late", late[:2], late[2:], END)
     got = E.read_slices(spark, E.run_available(E.bounce_detection(source(spark, base)), "append", "b"))
     assert [tuple(r) for r in got.select("item_id", "event_id", "open_seconds").collect()] == [(5, 4, 2.0)]
+
+
+def test_invalid_events_are_kept_aside(spark, tmp_path):
+    bad = [event(10, "08:00:00", kind="dance"), event(11, "08:00:01", user=None), event(12, "08:00:02", item=None)]
+    base = folder(spark, tmp_path, [*FIRST, bad[0]], bad[1:])
+    path, aside = E.run_validated(source(spark, base), "e")
+    ids = lambda p: sorted(r.event_id for r in E.read_slices(spark, p).collect())
+    assert ids(path) == [1, 2, 3] and ids(aside) == [10, 11, 12]
