@@ -189,3 +189,13 @@ def test_invalid_events_are_kept_aside(spark, tmp_path):
     path, aside = E.run_validated(source(spark, base), "e")
     ids = lambda p: sorted(r.event_id for r in E.read_slices(spark, p).collect())
     assert ids(path) == [1, 2, 3] and ids(aside) == [10, 11, 12]
+
+
+def test_state_of_sessions_is_kept_per_user(spark, tmp_path):
+    data = [(100 * u + n, f"2024-01-{n + 1:02d} 08:00:00", u, 5, "click", f"s{n}", "q", "C", "N") for u in (1, 2) for n in range(25)]
+    data += [(900 + n, "2024-01-03 09:00:00", None, 5, "click", s, "q", "C", "N") for n, s in enumerate(("a", "b", None))]
+    base = folder(spark, tmp_path, data, [(999, "2024-03-01 08:00:00", 3, 5, "click", "z", "q", "C", "N")])
+    path = E.run_available(E.session_counters(source(spark, base)), "append", "s")
+    keys = ["user_id", "session_id", "item_id", "sign", "started_at", "cnt", "last_at"]
+    assert picked(E.read_slices(spark, path), *keys) == picked(S.session_counters(rows(spark, data)), *keys)
+    assert E.progress[path][0] == 5  # two users, and two sessions and one without id of no user; 53 sessions in all
