@@ -89,6 +89,24 @@ def test_cells_give_exact_neighbours_and_skip_most_cells(spark):
     assert C.vector_topk(queries.select("query", "vector"), items.limit(0), 3).collect() == []
 
 
+def test_queries_travel_once_to_a_bundle_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([rng.normal(size=(600, 16)), np.repeat(rng.normal(size=(1, 16)), 150, axis=0)])  # unrelated, and one vector often
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>").repartition(3)
+    queries = items.select(F.col("item_id").alias("id"), "vector", F.lit(4).alias("k"), F.lit(-99.0).alias("threshold"))
+    cells = C.build_cells(items, per_cell=10)
+    assert len(cells.geometry.counts) > 50 and cells.blocks.count() <= 2
+    first, second = (C.reads(queries, cells, again).select(F.sum(F.size("ids"))).first()[0] for again in (False, True))
+    assert first + second <= 2 * len(rows) * cells.blocks.count()  # in cells: one row for each of over 50
+    scores = np.floor(vectors @ vectors.T * 1e6 + 0.5) / 1e6
+    want = {(i, n + 1): int(j) for i in range(len(rows)) for n, j in enumerate(np.lexsort((np.arange(len(rows)), -scores[i]))[:4])}
+    for size in (C.BUNDLE, 64):  # one bundle, and parts of cells with several turns
+        monkeypatch.setattr(C, "BUNDLE", size)
+        found = C.cell_topk(queries.select(F.col("id").alias("query"), "vector", "k"), C.build_cells(items, per_cell=10)).collect()
+        assert {(r.query, r.rn): r.item_id for r in found} == want and len(found) == len(want)
+
+
 def test_rates_of_a_variant_without_events(spark):
     events = spark.createDataFrame([("click", "personalised"), ("view", "personalised")], "event_type string, variant string")
     row = M.ctr_bounce_delta(events).first()
