@@ -279,3 +279,32 @@ def test_quality(session):
     assert {r.score for r in factor.score_quality(docs, empty).collect()} == {0.5}
     assert qualityrules.quality_rules(docs, empty).where(F.col("kept") == F.col("base_failed")).count() == 0
     assert factor.score_quality(docs.limit(0), labels).collect() == [] and qualityrules.quality_rules(docs.limit(0), labels).collect() == []
+
+
+def test_rules_are_fitted_on_every_labelled_row(session):
+    """Ranges and threshold are those of all rows (20,000, of which a few hold the ends), each tree draws from all of them."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.gamma(2.0, size=(20_000, len(qualityrules.RATIOS))), 6)
+    x[5:30] += 9  # rare rows
+    x[40:60] = 0.0
+    good = rng.random(len(x)) < 0.9
+    rows = session.createDataFrame(
+        [(k, int(g), *map(float, r)) for k, (g, r) in enumerate(zip(good, x))], "doc_id long, good long, " + ", ".join(f"{r} double" for r in qualityrules.RATIOS)
+    ).repartition(5)
+    name = qualityrules.RATIOS[1]
+    ranks = [0, 1, 19, 30, 9_999, 19_998, 19_999]
+    assert qualityrules.ranked_values(rows, [(name, k) for k in ranks]) == [float(np.sort(x[:, 1])[k]) for k in ranks]
+    drawn = qualityrules.drawn(rows, int(good.sum()), int((~good).sum()), 200, (256, 16)).groupBy("tree", "good").agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"), F.max("doc_id").alias("last")).collect()
+    assert len(drawn) == 400 and all(r.n == r.d == (256 if r.good else 16) for r in drawn)
+    seen = qualityrules.drawn(rows, int(good.sum()), int((~good).sum()), 200, (256, 16)).select("doc_id").distinct().count()
+    assert seen > 15_000  # 6,000 at most before
+    model = qualityrules.fit_forest(rows, trees=20)
+    assert list(model["low"]) == list(np.quantile(x[good], 0.001, axis=0, method="lower"))
+    assert list(model["high"]) == list(np.quantile(x[good], 0.999, axis=0, method="higher"))
+    scores = qualityrules.forest_scores(model, x)
+    limit = np.quantile(scores[good], 0.999, method="higher")
+    above = scores[~good & (scores > limit)]
+    assert abs(model["threshold"] - ((limit + above.min()) / 2 if len(above) else limit)) < 1e-12
+    again = qualityrules.fit_forest(rows.repartition(3), trees=20)
+    assert again["threshold"] == model["threshold"] and all((a["cut"] == b["cut"]).all() for a, b in zip(model["trees"], again["trees"]))
