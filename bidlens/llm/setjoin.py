@@ -267,6 +267,7 @@ def linked_pairs(plan: Plan, near: DataFrame, classes: DataFrame, texts: DataFra
     """The pairs (a, b) whose whole sets are linked; sets are made anew for the classes that occur in a pair only.
 
     A class's text is that of its representative row, found by doc_id and hash of the text: ids may be null or repeated.
+    ``near`` is a staged table; it and the sets are deleted once the links are written.
     """
     ids = near.select(F.col("a").alias("cls")).union(near.select("b")).distinct()
     wanted = stage(classes.select("cls", F.col("first").alias("_f"), F.col("text_of").alias("_t")).join(ids, "cls"), "wanted")
@@ -275,7 +276,10 @@ def linked_pairs(plan: Plan, near: DataFrame, classes: DataFrame, texts: DataFra
     full = near.join(tokens.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a").join(
         tokens.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b"
     )
-    return full.select("a", "b", "ta", "tb").mapInArrow(verify(plan), "a long, b long")
+    links = stage(full.select("a", "b", "ta", "tb").mapInArrow(verify(plan), "a long, b long"), "links")
+    for done in (near, wanted, tokens):
+        unstage(done)
+    return links
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -338,20 +342,26 @@ def _met(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b", "need"])
 
 
-def rest_pairs(lists: DataFrame, comps: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+def mixed(rows: DataFrame) -> DataFrame:
+    """(key, many): lists with members of more than one component, and their lengths."""
+    return rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where(
+        F.col("low") != F.col("high")).select("key", "many")
+
+
+def unsettled(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows (cls, key, comp, many) of the mixed lists."""
+    now = lists.join(comps, "cls")
+    return now.join(mixed(now), "key")
+
+
+def rest_pairs(kept: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """All pairs of members in different components that meet in as many lists as linked ones do, with sizes and sketches
     that allow a link.
 
-    Only lists that ``rarer_lists`` leaves are read. Members of one list meet in blocks: each member is sent to the
+    ``kept`` are the rows that ``rarer_lists`` leaves. Members of one list meet in blocks: each member is sent to the
     blocks of its list that it must meet, so that a long list spreads over tasks. Within a block the sketches are
     compared in numpy and only possible links come out, once per list; then each pair's lists are counted.
     """
-    def mixed(rows):
-        return rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).where(
-            F.col("low") != F.col("high")).select("key", "many")
-
-    now = lists.join(comps, "cls")
-    kept = stage(rarer_lists(now.join(mixed(now), "key"), classes), "rarer")
     rows = kept.join(mixed(kept), "key").join(classes.select("cls", "n", "short"), "cls").withColumn(
         "blocks", F.ceil(F.col("many") / 512).cast("int")
     ).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).withColumn(
@@ -446,9 +456,12 @@ def labelled(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
     comps = classes.select("cls", F.col("cls").alias("comp"))
     for turn, every in enumerate(ROUNDS):
         near = stage(near_pairs(plan, center_pairs(lists, comps, every, turn), classes), "pairs")
-        comps = components(comps, stage(linked_pairs(plan, near, classes, slim), "links"))
-    rest = stage(near_pairs(plan, rest_pairs(lists, comps, classes, plan), classes, ("sketch",)), "pairs")
-    comps = components(comps, stage(linked_pairs(plan, rest, classes, slim), "links"))
+        comps = components(comps, linked_pairs(plan, near, classes, slim))
+    kept = stage(rarer_lists(unsettled(lists, comps), classes), "rarer")
+    unstage(lists)
+    rest = stage(near_pairs(plan, rest_pairs(kept, classes, plan), classes, ("sketch",)), "pairs")
+    unstage(kept)
+    comps = components(comps, linked_pairs(plan, rest, classes, slim))
     named = comps.join(classes, "cls").groupBy("comp").agg(F.min("first").alias("smallest"))
     labels = comps.join(named, "comp").select(F.col("cls").alias("_c"), "smallest", "comp")
     everyone = firsts.join(labels, F.col("cls") == F.col("_c"), "left").select(

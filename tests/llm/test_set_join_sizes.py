@@ -1,11 +1,13 @@
 """The set join on long texts and on groups of near copies around the threshold, against brute force."""
 
+import os
 import random
 
 import pytest
 
 from bidlens.llm import setjoin
 from bidlens.llm.tables import ship
+from bidlens.session import shared_dir
 from tests.llm.test_llm import brute_components, table
 
 
@@ -41,3 +43,14 @@ def test_spare_parts_grow_with_the_sets():
     plan = setjoin.Plan(80, 100, 5)
     small, large = setjoin.parts_of(plan, 40), setjoin.parts_of(plan, 4000)
     assert small[1] == setjoin.SPARE and large[1] > 0.24 * (large[0] - large[1])
+
+
+def test_sets_and_lists_are_deleted_once_read(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    base = [f"word{k % 97} other{k}" for k in range(400)]
+    rows = [(i, " ".join([*base[: 390 + i % 7], f"end{i}"])) for i in range(30)]
+    found = setjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, 5)
+    assert {r.component_id for r in found.collect()} == {0}
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "links" in left and not left & {"wanted", "tokens", "rarer", "lists", "pairs"}
