@@ -59,3 +59,12 @@ def test_candidates_are_not_shuffled_when_hits_are_small(spark):
     assert "Join" not in above and "Aggregate" not in above and "Window" not in above
     factors = QP.factors(Tables(spark, "/root/testdata/sf0.001")).where(F.size("explanations") > 1)
     assert factors.count() > 100
+
+
+def test_purchases_of_items_are_summed_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001").staged()
+    out = wide.carried(t, lexical_hits(t), wide.FEATURES)
+    assert out.count() > 1000 and "item-totals" in t._stages
+    for df in (t.order_counts, t._stages["full-hits"]):  # both read the sums, neither the purchases
+        assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert t.order_counts.count() == t.facts.select("item_id").distinct().count()
