@@ -115,3 +115,62 @@ def ctr_bounce_delta(events: DataFrame) -> DataFrame:
         "*", F.round(F.col("click_personalised") - F.col("click_baseline"), 6).alias("ctr_delta"),
         F.round(F.col("bounce_personalised") - F.col("bounce_baseline"), 6).alias("bounce_delta"),
     )
+
+
+# ---- lists as arrays -----------------------------------------------------------------------
+# The same measures of a list that lies in one row, its grades ``rels`` in ranked order: nothing is sorted or shuffled per result.
+def _list_dcg(rels: Column, gain, k: int) -> Column:
+    terms = F.transform(F.slice(rels, 1, k), lambda r, i: gain(r) / F.log2(i + 2))
+    return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
+
+
+def _list_ndcg(rels: Column, gain, k: int) -> Column:
+    ideal = _list_dcg(F.sort_array(rels, asc=False), gain, k)
+    return F.round(F.when(ideal > 0, _list_dcg(rels, gain, k) / ideal).otherwise(0.0), 6)
+
+
+def _list_precision(rels: Column, k: int) -> Column:
+    return F.size(F.filter(F.slice(rels, 1, k), lambda r: r > 0)) / k
+
+
+def _list_rr(rels: Column) -> Column:
+    first = F.array_position(F.transform(rels, lambda r: r > 0), True)
+    return F.when(first > 0, 1.0 / first).otherwise(0.0)
+
+
+def _list_ap(rels: Column) -> Column:
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"))
+    step = lambda a, r: F.struct(
+        F.when(r > 0, a["n"] + 1).otherwise(a["n"]).alias("n"),
+        F.when(r > 0, a["s"] + (a["n"] + 1) / (a["i"] + 1)).otherwise(a["s"]).alias("s"), (a["i"] + 1).alias("i"))
+    return F.aggregate(rels, start, step, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0))
+
+
+def lists_ndcg(lists: DataFrame) -> DataFrame:
+    rels = F.col("rels")
+    return lists.select(*KEYS, F.round(_list_dcg(rels, _linear, 10), 6).alias("dcg_10"), *[_list_ndcg(rels, _linear, k).alias(f"ndcg_{k}") for k in DEPTHS])
+
+
+def lists_ndcg_exp(lists: DataFrame, k: int = 10, min_size: int = 2) -> DataFrame:
+    return lists.where(F.size("rels") >= min_size).select(*KEYS, _list_ndcg(F.col("rels"), _exponential, k).alias("ndcg"))
+
+
+def lists_rr(lists: DataFrame) -> DataFrame:
+    return lists.select(*KEYS, _list_rr(F.col("rels")).alias("rr"))
+
+
+def lists_ap(lists: DataFrame) -> DataFrame:
+    return lists.select(*KEYS, _list_ap(F.col("rels")).alias("ap"))
+
+
+def lists_precision(lists: DataFrame) -> DataFrame:
+    return lists.select(*KEYS, *[_list_precision(F.col("rels"), k).alias(f"p_{k}") for k in DEPTHS])
+
+
+def evaluate_lists(lists: DataFrame) -> DataFrame:
+    """All metrics of a run, as (run, metric, value) rows."""
+    rels = F.col("rels")
+    measures = {f"NDCG@{k}": _list_ndcg(rels, _linear, k) for k in DEPTHS} | {f"P@{k}": _list_precision(rels, k) for k in DEPTHS}
+    measures |= {"MRR": _list_rr(rels), "MAP": _list_ap(rels)}
+    means = lists.groupBy("run").agg(*[F.round(F.avg(c), 5).alias(n) for n, c in measures.items()])
+    return means.unpivot("run", [F.col(f"`{n}`") for n in measures], "metric", "value")
