@@ -124,21 +124,40 @@ def keys_of(plan: Plan, tokens: np.ndarray) -> tuple[np.ndarray, int]:
     if n <= x:
         out.append(subset_keys(tokens, deletions(plan, n, x)))
         least = 1
-    bands = {band_of(t) for t in (max(n, x + 1), plan.largest(n)) if t > x and t >= n}
-    if plan.largest(n) > x:
-        for k, high in sorted(bands):
-            m, spare = parts_of(plan, high)
-            keys = list_keys(tokens, k, m, spare)
-            out.append(keys)
-            least = min(least, max(1, spare + 1 - (m - len(keys)) if len(keys) < m else _filled_need(tokens, m, spare)))
+    for k, high in list_bands(plan, n):
+        m, spare = parts_of(plan, high)
+        keys = list_keys(tokens, k, m, spare)
+        out.append(keys)
+        least = min(least, max(1, spare + 1 - (m - len(keys)) if len(keys) < m else _filled_need(tokens, m, spare)))
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), min(least, len(tokens) + 1)
 
 
-def _filled_need(tokens: np.ndarray, m: int, spare: int) -> int:
-    """Shared parts of a set that lists all its parts: spare + 1, or 1 if some of these may be empty ones."""
+def list_bands(plan: Plan, n: int) -> list[tuple[int, int]]:
+    """The bands in whose lists a set of n stands."""
+    x = boundary(plan)
+    return sorted({band_of(t) for t in (max(n, x + 1), plan.largest(n)) if t > x and t >= n}) if plan.largest(n) > x else []
+
+
+def filled_parts(tokens: np.ndarray, m: int) -> int:
     cuts = np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m)
     at = np.concatenate(([0], np.searchsorted(tokens, cuts), [len(tokens)]))
-    return spare + 1 if (at[1:] > at[:-1]).all() else 1
+    return int((at[1:] > at[:-1]).sum())
+
+
+def _filled_need(tokens: np.ndarray, m: int, spare: int) -> int:
+    """Shared parts of a set that lists all its parts: spare + 1, or 1 if some of these may be empty ones."""
+    return spare + 1 if filled_parts(tokens, m) == m else 1
+
+
+def least_of(plan: Plan, tokens: np.ndarray) -> int:
+    """How many keys any partner shares at least, as ``keys_of`` gives it, without making the keys."""
+    n = len(tokens)
+    least = 1 if n <= boundary(plan) else 1 << 30
+    for _, high in list_bands(plan, n):
+        m, spare = parts_of(plan, high)
+        empty = m - filled_parts(tokens, m)
+        least = min(least, spare + 1 - empty if empty <= spare else 1)
+    return min(least, n + 1)
 
 
 def sketch_of(tokens: np.ndarray) -> bytes:
@@ -175,28 +194,38 @@ def signed(x) -> np.ndarray:
 
 
 def summarise(plan: Plan):
-    """Per document: set size, 64-bit digest of the set, sketch and keys."""
+    """Per document: set size, 64-bit digest of the set, sketches and how many keys any partner shares at least."""
 
     def batches(source):
         for batch in source:
             step = 256
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                sizes, digests, sketches, keys, least = [], [], [], [], []
+                sizes, digests, sketches, least = [], [], [], []
                 for t in document_sets(part.column("text"), plan.size):
                     sizes.append(len(t))
                     digest = mix(mix(t).sum(dtype=np.uint64) ^ mix(np.uint64(len(t) + 99)))
                     digests.append(int(signed(digest)[0]) if len(t) else 0)
                     sketches.append(sketch_of(t))
-                    own, need = keys_of(plan, t)
-                    keys.append(signed(own))
-                    least.append(need)
-                ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                    least.append(least_of(plan, t))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(sketches, pa.binary()), pa.array([short(x) for x in sketches], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(least, pa.int32()),
-                ], names=["doc_id", "th", "n", "cls", "sketch", "short", "keys", "least"])
+                    part.column("doc_id"), part.column("th"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()),
+                    pa.array(sketches, pa.binary()), pa.array([short(x) for x in sketches], pa.binary()), pa.array(least, pa.int32()),
+                ], names=["doc_id", "th", "n", "cls", "sketch", "short", "least"])
+
+    return batches
+
+
+def key_batches(plan: Plan):
+    """(cls, key) of every row: the lists that its set stands in."""
+
+    def batches(source):
+        for batch in source:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keys = [keys_of(plan, t)[0] for t in document_sets(part.column("text"), plan.size)]
+                ids = np.repeat(part.column("cls").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(signed(np.concatenate(keys)))], names=["cls", "key"])
 
     return batches
 
@@ -436,19 +465,19 @@ def labelled(docs: DataFrame, num: int, den: int, size: int) -> DataFrame:
     plan = Plan(num, den, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, th long, n long, cls long, sketch binary, short binary, keys array<long>, least int"), "sets")
+    facts = stage(slim.mapInArrow(summarise(plan), f"doc_id {kind}, th long, n long, cls long, sketch binary, short binary, least int"), "sets")
     filled = facts.where("n > 0")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     firsts = stage(filled.groupBy("cls", "n").agg(
         F.min(row).alias("row"), F.min("sketch").alias("sketch"), F.min("short").alias("short"), F.min("least").alias("least"),
     ).select("cls", "n", F.col("row.doc_id").alias("first"), F.col("row.th").alias("text_of"), "sketch", "short", "least"), "classes")
     reps = firsts.select(F.col("cls").alias("_c"), F.col("first").alias("_f"), F.col("text_of").alias("_t"))
-    entries = filled.select("doc_id", "th", "cls", "keys").join(reps, same(("cls", "_c"), ("doc_id", "_f"), ("th", "_t"))).select(
-        "cls", F.explode("keys").alias("key")
+    entries = slim.join(reps, same(("doc_id", "_f"), ("th", "_t"))).select(F.col("_c").alias("cls"), "text").mapInArrow(
+        key_batches(plan), "cls long, key long"  # keys take more room than texts, so they are made where they are dealt out
     )
     shared = stage(shared_lists(entries), "shared")
     known = stage(facts.select("doc_id", "th", "n", "cls"), "known")
-    unstage(facts)  # its keys take more room than all that follows
+    unstage(facts)
     lists = stage(dense_lists(shared, firsts), "lists")
     unstage(shared)
     used = lists.select("cls").distinct()

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20  # bytes hashed at once; longer documents are taken in pieces cut at spaces
+CHUNK = 1 << 18  # bytes hashed at once; longer documents are taken in pieces cut at spaces
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from bidlens.llm import setjoin
@@ -54,3 +55,20 @@ def test_sets_and_lists_are_deleted_once_read(spark):
     assert {r.component_id for r in found.collect()} == {0}
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
     assert "links" in left and not left & {"wanted", "tokens", "rarer", "lists", "pairs"}
+
+
+@pytest.mark.parametrize("num,size", [(80, 5), (90, 3)])
+def test_keys_are_made_where_they_are_dealt_out(spark, num, size, monkeypatch):
+    """Staged sets hold no keys, which take more room than the texts; what partners share is known without them."""
+    plan = setjoin.Plan(num, 100, size)
+    rng = np.random.default_rng(num)
+    for n in [*range(0, 40), 57, 120, 333, 1000, 5000]:
+        tokens = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert setjoin.least_of(plan, tokens) == setjoin.keys_of(plan, tokens)[1]
+    ship(spark)
+    rows = [(k, " ".join(f"w{rng.integers(0, 900)}" for _ in range(300)), "a") for k in range(20)]
+    staged = {}
+    write = setjoin.stage
+    monkeypatch.setattr(setjoin, "stage", lambda df, label: staged.setdefault(label, df.columns) and write(df, label))
+    setjoin.labelled(table(spark, rows), num, 100, size).collect()
+    assert "sets" in staged and "keys" not in staged["sets"]
