@@ -193,10 +193,16 @@ def packed(width: int):
 PACKED = "leaf long, part long, ids binary, tags binary, labels binary, data binary"
 
 
+def with_part(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    """Rows with what ``leaves`` (l, parts) says of their leaf and their part of it; leaves are bounded by SAMPLE, so they
+    are what is broadcast: the files of the rows may be many times smaller than the rows."""
+    return rows.join(F.broadcast(leaves), F.col("leaf") == F.col("l")).withColumn("part", F.pmod(F.xxhash64("vec_id", "tag"), F.col("parts"))).drop("l", "parts")
+
+
 def in_parts(rows: DataFrame, parts: dict[int, int]) -> DataFrame:
     """Rows with the part of their leaf; a leaf with many rows has many parts."""
     many = rows.sparkSession.createDataFrame([(k, v) for k, v in parts.items()], "l long, parts long")  # one row per leaf
-    return rows.join(many, F.col("leaf") == F.col("l")).withColumn("part", F.pmod(F.xxhash64("vec_id", "tag"), F.col("parts"))).drop("l", "parts")
+    return with_part(rows, many)
 
 
 def parts_of(rows: DataFrame, size: int) -> dict[int, int]:
@@ -213,7 +219,7 @@ def in_groups(rows: DataFrame, size: int) -> DataFrame:
         held += r["count"]
         groups.append((r.leaf, group, max(1, -(-r["count"] // size))))
     of = rows.sparkSession.createDataFrame(groups, "l long, group long, parts long")
-    return rows.join(of, F.col("leaf") == F.col("l")).withColumn("part", F.pmod(F.xxhash64("vec_id", "tag"), F.col("parts"))).drop("l", "parts")
+    return with_part(rows, of)
 
 
 def products(q: np.ndarray, x: np.ndarray, exact: bool) -> np.ndarray:
@@ -351,15 +357,20 @@ def anchor_blocks(anchors: DataFrame, width: int, size: int = ANCHORS) -> DataFr
             "name": [flat("name")], "low": [flat("low")], "high": [flat("high")],
         })
 
-    return in_groups(anchors, size).groupBy("group", "part").applyInArrow(
+    spark = anchors.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    return in_groups(anchors, size).repartition(tasks, "group", "part").groupBy("group", "part").applyInArrow(
         block, "ids binary, tags binary, labels binary, data binary, owner binary, name binary, low binary, high binary")
 
 
 def first_in_windows(anchors: DataFrame, index: Index, k: int, alike: bool) -> DataFrame:
-    """anchor_id, anchor_tag, name, rank, vec_id, score: the first k rows within each of the anchors' windows."""
+    """anchor_id, anchor_tag, name, rank, vec_id, score: the first k rows within each of the anchors' windows.
+
+    Windows and blocks are merged whatever the size of their files: packed rows of copies are small in a file only, and a
+    broadcast would hold all of them on the driver."""
     tree = index.tree
     visits = anchor_blocks(anchors, tree.width).mapInArrow(routed(tree, index.parts, index.sample, k, alike), ASKED)
-    found = visits.join(index.blocks, ["leaf", "part"]).mapInArrow(looked_up(tree.width, tree.exact, k, alike), FOUND)
+    found = visits.join(index.blocks.hint("merge"), ["leaf", "part"]).mapInArrow(looked_up(tree.width, tree.exact, k, alike), FOUND)
     order = Window.partitionBy("anchor_id", "anchor_tag", "name").orderBy(F.desc("score"), "vec_id", "tag")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -430,8 +441,8 @@ def mine(vectors: DataFrame, every: int = 50, positives: int = 5, negatives: int
     most = F.expr(f"{high} * {whole} + (({high} * {rest}) div 100)")
     windows = found.withColumn("low", least).withColumn("high", most).where("low <= high").groupBy("anchor_id", "anchor_tag").agg(
         F.collect_list(window(F.col("place"), F.col("low"), F.col("high"))).alias("windows"))  # at most ``positives`` a group
-    asked = anchors.join(windows, (F.col("vec_id") == F.col("anchor_id")) & (F.col("tag") == F.col("anchor_tag"))).select("leaf", *ROW, "windows")
+    asked = anchors.join(windows.hint("merge"), (F.col("vec_id") == F.col("anchor_id")) & (F.col("tag") == F.col("anchor_tag"))).select("leaf", *ROW, "windows")
     mined = first_in_windows(asked, index, negatives, False)
     return mined.select("anchor_id", "anchor_tag", F.col("name").alias("place"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")).join(
-        found, ["anchor_id", "anchor_tag", "place"]).select(
+        found.hint("merge"), ["anchor_id", "anchor_tag", "place"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")
